@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,23 +52,29 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-        self.rows: dict[int, int] = {}
+        self.seen: dict[int, dict] = {}
         self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []  # so that no id is used twice
         self.made = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back.  ``count`` then tells the number of rows without another job."""
+    def save(self, df: DataFrame, **watch: Column) -> DataFrame:
+        """Write ``df`` and read it back.  ``count`` and ``watched`` then tell its number of rows and the aggregates
+        ``watch`` without another job."""
         path = f"{self.root}/{self.made}"
         self.made += 1
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in watch.items()]).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.rows[id(back)] = seen.get.get("rows") or 0
+        self.seen[id(back)] = seen.get
         self.paths[id(back)] = path
+        self.kept.append(back)
         return back
 
     def count(self, saved: DataFrame) -> int:
-        return self.rows[id(saved)]
+        return self.seen[id(saved)].get("rows") or 0
+
+    def watched(self, saved: DataFrame, name: str):
+        return self.seen[id(saved)].get(name)
 
     def path(self, saved: DataFrame) -> str:
         return self.paths[id(saved)]
