@@ -67,4 +67,4 @@ def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
 def orphan_rows(refs: DataFrame, orphans: DataFrame) -> DataFrame:
     """(ref_table, ref_id) of the references behind ``orphans``; hot keys by broadcast, the rest shuffled."""
     keys = orphans.select("ref_key").distinct()
-    return skew_join(refs, keys, "ref_key", "left_semi").select("ref_table", "ref_id")
+    return skew_join(refs, keys, "ref_key", "left_semi", hot_keys(orphans, "ref_key", rows="n_refs")).select("ref_table", "ref_id")

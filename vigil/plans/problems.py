@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import references as R
 from vigil.operators import spikes as S
-from vigil.session import table
+from vigil.session import Scratch, table
 
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -15,19 +15,19 @@ def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     refs = R.references(audit, "audit_log", "audit_id", "event_id", "ingested_at").unionByName(
         R.references(evidence, "evidence_artifacts", "evidence_id", "event_id", "saved_at")
     )
-    return refs, R.living(events, "event_id", "status", "ingested_at")
+    scratch = Scratch(spark)
+    refs, alive = scratch.save(refs), scratch.save(R.living(events, "event_id", "status", "ingested_at"))
+    return refs, scratch.save(R.orphan_keys(refs, alive))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """References of audit_log and evidence_artifacts that lead to no event."""
-    refs, alive = _references(spark, folder)
-    return R.orphan_rows(refs, R.orphan_keys(refs, alive))
+    return R.orphan_rows(*_references(spark, folder))
 
 
 def p2_orphan_report(spark: SparkSession, folder: str) -> DataFrame:
     """References and orphans per table and month of arrival."""
-    refs, alive = _references(spark, folder)
-    return R.orphan_report(refs, R.orphan_keys(refs, alive))
+    return R.orphan_report(*_references(spark, folder))
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
