@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import history, overlap, splits
+from vigil.llm import chunking, history, mixing, overlap, packing, splits, tokens
 from vigil.llm.components import consolidate
+from vigil.llm.documents import once, source_name
 from vigil.session import Scratch, table
 
 
@@ -69,7 +70,69 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return consolidate(table(spark, folder, "candidate_pairs"), "image_a", "image_b").select(F.col("node").alias("image_id"), F.col("group").alias("group_image_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_round_report, p3_found, p3_assignment, p3_shares, p4_found, p4_overlap_report, p6_found)}
+def _limits(spark: SparkSession, folder: str, purpose: str) -> list[tuple[int, int]]:
+    """The (limit, overlap) rows of a purpose; a table of fixed size."""
+    rows = table(spark, folder, "size_limits").where(F.lower(F.trim("purpose")) == purpose).collect()
+    return sorted((r.limit_tokens, r.overlap_tokens or 0) for r in rows)
+
+
+def _sizes(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, source, n_tokens), one row a document."""
+    documents = table(spark, folder, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    return scratch.save(once(scratch.save(tokens.with_sizes(documents, "text", ["doc_id", "source"])), "doc_id", scratch))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark)
+    sizes, out = _sizes(spark, folder, scratch), None
+    for limit, _ in _limits(spark, folder, "fill"):
+        one = packing.pack(sizes, "doc_id", "n_tokens", limit, scratch).select(
+            F.lit(limit).alias("limit_tokens"), "container_id", F.col("item_id").alias("doc_id"), "token_start", "n_tokens"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, or parts of oversized ones, of each container, for each fill limit."""
+    return _packed(spark, folder)
+
+
+def p7_fill_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and the share of them that is filled, for each fill limit."""
+    return packing.fill_report(_packed(spark, folder))
+
+
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    scratch = Scratch(spark)
+    return mixing.mix(_sizes(spark, folder, scratch), mixing.targets(table(spark, folder, "mix_targets")), scratch)
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents, their repeats and the tokens drawn from them."""
+    return mixing.by_document(_mixture(spark, folder).drawn)
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixture(spark, folder).report
+
+
+def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The slots of the output shards with the block, and the tokens of documents, that fill each."""
+    return _mixture(spark, folder).drawn
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of the texts above each cut limit."""
+    documents = once(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", Scratch(spark))
+    return chunking.split_oversized(documents, "doc_id", "text", _limits(spark, folder, "cut")).select(
+        "limit_tokens", "doc_id", "piece_no", "char_start", "core_start", "char_end", "n_tokens", "overlap_tokens", "text"
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_round_report, p3_found, p3_assignment, p3_shares, p4_found, p4_overlap_report, p6_found,
+    p7_containers, p7_fill_report, p8_documents, p8_shares, p8_blocks, p9_pieces)}
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _LOW = f"nullif(lower({_STRIP}), '')"
