@@ -5,9 +5,9 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-from vigil.plans import problems
+from vigil.plans import problems, rules
 
-MODULES = [problems]
+MODULES = [rules, problems]
 
 
 def _modules() -> list:
