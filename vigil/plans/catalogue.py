@@ -5,9 +5,9 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-from vigil.plans import problems, rules
+from vigil.plans import datasets, problems, records, rules
 
-MODULES = [rules, problems]
+MODULES = [rules, records, datasets, problems]
 
 
 def _modules() -> list:
