@@ -7,7 +7,7 @@ By the triangle inequality two fingerprints within the radius have distances to
 radius.  The join runs on ranges of the distance to the first pivot (a new row looks into each range its radius touches),
 the other pivots prune what meets there, and the true distance decides.  Distances to pivots crowd around half of
 the bits, so ranges alone would leave nearly a tenth of all pairs; the ranges are therefore cut into the exact
-block cells of ``hamming``, which lose nothing and split crowded cells further.
+block cells of ``operators.hamming``, which lose nothing and split crowded cells further.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.text import strip
-from vigil.llm.hamming import bit_distance, near_pairs
+from vigil.operators.hamming import bit_distance, near_pairs
 from vigil.session import Scratch
 
 RADIUS = 3
