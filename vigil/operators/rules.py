@@ -24,8 +24,12 @@ ORDER = ["timestamp_seconds", "frame_number"]
 
 
 def membership(observations: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each observation with each enabled zone of its camera and whether its point lies inside."""
-    return observations.join(zones.where("enabled").drop("polygon"), "camera_id").withColumn("inside", point_in_polygon(F.col("x"), F.col("y"), F.col("edges"))).drop("edges")
+    """Each observation with each enabled zone of its camera and whether its point lies inside.
+
+    Zones are configuration that the driver has read from a file, so their size is bounded and they are broadcast; the
+    observations, of which one camera may have most, stay where they are.
+    """
+    return observations.join(F.broadcast(zones.where("enabled").drop("polygon")), "camera_id").withColumn("inside", point_in_polygon(F.col("x"), F.col("y"), F.col("edges"))).drop("edges")
 
 
 def ttl_segments(rows: DataFrame, keys: list[str], ttl: Column) -> DataFrame:
@@ -68,7 +72,7 @@ def occupancy(states: DataFrame, frames: DataFrame, zones: DataFrame) -> DataFra
     held = states.where("confirmed").groupBy(*SESSION, "zone_id", "frame_number").agg(
         F.count(F.lit(1)).alias("_n"), F.min("track_id").alias("lone_track"), F.array_join(F.transform(F.sort_array(F.collect_set("track_id")), lambda t: t.cast("string")), ",").alias("_ids")
     )
-    spine = frames.join(zones.where("enabled").select("camera_id", "zone_id", "zone_name", "zone_ordinal"), "camera_id")
+    spine = frames.join(F.broadcast(zones.where("enabled").select("camera_id", "zone_id", "zone_name", "zone_ordinal")), "camera_id")
     return spine.join(held, [*SESSION, "zone_id", "frame_number"], "left").select(
         *SESSION, "zone_id", "zone_name", *ORDER, F.coalesce("_n", F.lit(0)).alias("occupancy"), "lone_track", F.coalesce("_ids", F.lit("")).alias("inside_track_ids")
     )
@@ -155,7 +159,7 @@ def safety_events(entries: DataFrame, lone: DataFrame, still: DataFrame, zones:
     parts = entries.drop("zone_name").unionByName(lone, allowMissingColumns=True).unionByName(still, allowMissingColumns=True)
     natural = [*TRACK, "module_id", "zone_id", "frame_number"]
     prefix = F.concat(F.when(F.col("module_id") == "BAR-001", F.lit("bar")).otherwise(F.col("module_id")), F.lit("_"), F.col("track_id").cast("string"))
-    return parts.join(names, ["camera_id", "zone_id"], "left").select(
+    return parts.join(F.broadcast(names), ["camera_id", "zone_id"], "left").select(
         event_id(prefix, *natural).alias("event_id"), *TRACK, "module_id", "event_type", "zone_id", "zone_name",
         F.bround("timestamp_seconds", 3).alias("source_timestamp_seconds"), "frame_number", F.bround("confidence", 4).alias("detection_confidence"),
         F.bround("stationary_duration_seconds", 2).alias("stationary_duration_seconds"), F.col("occupancy").cast("int").alias("zone_occupancy"),

@@ -1,0 +1,125 @@
+"""Configuration files as small DataFrames, and the rows that break their constraints.
+
+Files are read on the driver: they describe cameras and rules of a site and don't grow with the data.
+"""
+
+from __future__ import annotations
+
+import math
+import os
+import tempfile
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.functions.geometry import area, edges
+
+ZONE_SCHEMA = (
+    "camera_id string, zone_id string, zone_name string, zone_type string, enabled boolean, confirm_inside_seconds double, confirm_outside_seconds double, "
+    "state_ttl_seconds double, zone_ordinal int, width int, height int, fixed_camera boolean, polygon array<struct<x:double,y:double>>"
+)
+ZONE_TYPES = ("restricted", "counting")
+
+
+def _load(path: str, lenient: bool = False) -> dict[str, Any]:
+    import yaml
+
+    try:
+        found = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    except (OSError, yaml.YAMLError):
+        if lenient:
+            return {}
+        raise
+    if not isinstance(found, dict):
+        if lenient:
+            return {}
+        raise ValueError(f"{path}: a mapping is expected")
+    return found
+
+
+def read_zones(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """All cameras' zones with their expected resolution, edges made once; a lenient read of a bad file is empty."""
+    rows = []
+    for camera, entry in (_load(path, lenient).get("cameras") or {}).items():
+        entry = entry or {}
+        width, height = [*(entry.get("expected_resolution") or []), None, None][:2]
+        for n, z in enumerate(entry.get("zones") or []):
+            points = [{"x": float(p[0]), "y": float(p[1])} for p in z.get("polygon") or []]
+            rows.append((
+                camera, z.get("zone_id"), z.get("zone_name") or z.get("zone_id") or "unnamed", z.get("zone_type"), bool(z.get("enabled", True)),
+                float(z.get("confirm_inside_seconds", 0.2)), float(z.get("confirm_outside_seconds", 0.2)), float(z.get("state_ttl_seconds", 2.0)), n, width, height, bool(entry.get("fixed_camera", False)), points,
+            ))
+    return spark.createDataFrame(rows, ZONE_SCHEMA).withColumn("edges", edges(F.col("polygon")))
+
+
+def zone_violations(zones: DataFrame) -> DataFrame:
+    """(camera_id, zone_id, violation) of every broken constraint; none if the configuration is sound."""
+    p = F.col("polygon")
+    checks = {
+        "fewer than three distinct points": F.size(F.array_distinct(p)) < 3,
+        "point outside the frame": F.exists(p, lambda q: (q["x"] < 0) | (q["y"] < 0) | (q["x"] >= F.col("width")) | (q["y"] >= F.col("height")) | F.isnan(q["x"]) | F.isnan(q["y"])),
+        "no area": area(F.col("edges")) == 0,
+        "unknown zone type": ~F.coalesce(F.col("zone_type").isin(*ZONE_TYPES), F.lit(False)),
+        "blank zone id": F.coalesce(F.trim("zone_id"), F.lit("")) == "",
+        "camera is not fixed": ~F.col("fixed_camera"),
+        "resolution missing": F.col("width").isNull() | F.col("height").isNull() | (F.col("width") <= 0) | (F.col("height") <= 0),
+        "negative time": F.least("confirm_inside_seconds", "confirm_outside_seconds", "state_ttl_seconds") < 0,
+    }
+    broken = zones.select("camera_id", "zone_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).alias("violation"))
+    twice = zones.groupBy("camera_id", "zone_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("camera_id", "zone_id", F.lit("zone id used twice").alias("violation"))
+    return broken.unionByName(twice)
+
+
+def strict(rows: DataFrame, violations: DataFrame) -> DataFrame:
+    """``rows`` if there is no violation; otherwise an error that names the first few."""
+    found = violations.limit(5).collect()
+    if found:
+        raise ValueError("; ".join(", ".join(map(str, r)) for r in found))
+    return rows
+
+
+def read_rules(spark: SparkSession, path: str, zone_ids: set[str]) -> DataFrame:
+    """(module_id, zone_id, zone_ordinal, name, value): the thresholds of each enabled rule for each of its zones."""
+    rows = []
+    for module, entry in (_load(path).get("temporal_rules") or {}).items():
+        listed = entry.get("applicable_zone_ids") or []
+        unknown = set(listed) - set(zone_ids)
+        if not listed or len(set(listed)) != len(listed) or unknown:
+            raise ValueError(f"{module}: zones must be listed, once each, and exist: {sorted(unknown)}")
+        numbers = {k: float(v) for k, v in entry.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+        if any(not math.isfinite(v) or v < 0 for v in numbers.values()):
+            raise ValueError(f"{module}: thresholds must be finite and not negative")
+        if entry.get("enabled", True):
+            rows += [(module, z, n, k, v) for n, z in enumerate(listed) for k, v in sorted(numbers.items())]
+    return spark.createDataFrame(rows, "module_id string, zone_id string, zone_ordinal int, name string, value double")
+
+
+def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """(camera_id, source_type, secret_variable, enabled, secret_configured); a secret's value never becomes a column."""
+    rows = [
+        (c, e.get("source_type"), e.get("rtsp_env_var"), bool(e.get("enabled", False)), bool(os.environ.get(e.get("rtsp_env_var") or "", "")))
+        for c, e in (_load(path, lenient=True).get("cameras") or {}).items()
+    ]
+    return spark.createDataFrame(rows, "camera_id string, source_type string, secret_variable string, enabled boolean, secret_configured boolean")
+
+
+def write_atomically(path: str, content: dict[str, Any]) -> None:
+    """Replace a YAML file in one step, so that no reader sees half of it."""
+    import yaml
+
+    folder = os.path.dirname(os.path.abspath(path))
+    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as f:
+        yaml.safe_dump(content, f, sort_keys=False, allow_unicode=True)
+    os.replace(f.name, path)
+
+
+def upsert_zone(path: str, camera_id: str, resolution: tuple[int, int], zone: dict[str, Any]) -> None:
+    """Put a zone in place of the one with its id, or add it; the camera's resolution must stay what it is."""
+    content = _load(path, lenient=not os.path.exists(path)) or {}
+    entry = content.setdefault("cameras", {}).setdefault(camera_id, {"expected_resolution": list(resolution), "fixed_camera": True, "zones": []})
+    if list(entry.get("expected_resolution") or resolution) != list(resolution) or not entry.get("fixed_camera", False):
+        raise ValueError("the zone was drawn for another geometry")
+    entry["zones"] = [z for z in entry.get("zones") or [] if z.get("zone_id") != zone["zone_id"]] + [zone]
+    write_atomically(path, content)
