@@ -275,8 +275,8 @@ def flagged(rows: DataFrame, limits: dict[tuple[str, str], Limits], scratch: Scr
         c["series"] = np.cumsum(new)
         code = flag(c, limits)
         keep = (code > 0) & (c["own"] == key[0]) & c["eligible"].astype(bool)
-        got = t.loc[keep, ["source_table", "field_name", "camera_id", "session_id", "row_id", "at", "value"]]
-        return got.assign(reason=NAMES[code[keep]])
+        got = {n: c[n][keep] for n in ("source_table", "field_name", "camera_id", "session_id", "row_id", "at", "value")}
+        return pd.DataFrame(got | {"reason": NAMES[code[keep]]})
 
     schema = "source_table string, field_name string, camera_id string, session_id string, row_id long, at timestamp, value double, reason string"
     return chunked.groupBy("chunk").cogroup(wanted.groupBy("for_chunk")).applyInPandas(judge, schema)
