@@ -125,7 +125,7 @@ def _best_fit(containers: list[tuple[str, int]], items: pd.DataFrame, capacity:
                 by_room[room - size] = []
                 insort(rooms, room - size)
             by_room[room - size].append(name)
-    return items.assign(container_id=names)[["container_id", "item_id", "token_start", "n_tokens"]]
+    return pd.DataFrame({"container_id": np.array(names, object), **{c: items[c].to_numpy() for c in ("item_id", "token_start", "n_tokens")}})
 
 
 def pack(items: DataFrame, item_id: str, size: str, capacity: int, scratch: Scratch | None = None) -> DataFrame:
