@@ -48,6 +48,16 @@ def point_in_polygon(x: Column, y: Column, sides: Column) -> Column:
     return F.exists(sides, touches) | (F.size(F.filter(sides, crosses)) % 2 == 1)
 
 
+def bounds(polygon: Column) -> Column:
+    """The box around a polygon, widened by the tolerance of its border."""
+    x, y = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
+    return F.struct((F.array_min(x) - ON_EDGE).alias("x1"), (F.array_min(y) - ON_EDGE).alias("y1"), (F.array_max(x) + ON_EDGE).alias("x2"), (F.array_max(y) + ON_EDGE).alias("y2"))
+
+
+def in_box(x: Column, y: Column, box: Column) -> Column:
+    return (x >= box["x1"]) & (x <= box["x2"]) & (y >= box["y1"]) & (y <= box["y2"])
+
+
 def area(sides: Column) -> Column:
     """The area a polygon's edges enclose."""
     return F.abs(F.aggregate(sides, F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"])) / 2

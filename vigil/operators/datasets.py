@@ -16,21 +16,27 @@ CLASSES = ("helmet", "no_helmet", "no_vest", "vest")  # fixed values, in the ord
 
 def label_error(line: Column) -> Column:
     """The first rule that a line "class x_center y_center width height" breaks, null if it breaks none."""
-    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    none = F.lit(float("nan"))
 
-    def verdict(tokens: Column) -> Column:
-        klass, x, y, w, h = F.get(tokens, F.lit(0)).try_cast("int"), *[F.get(tokens, F.lit(i)).try_cast("double") for i in range(1, 5)]
+    def parse(tokens: Column) -> Column:
+        numbers = [F.coalesce(F.get(tokens, F.lit(i)).try_cast("double"), none).alias(n) for i, n in enumerate("xywh", 1)]
+        return F.struct(F.size(tokens).alias("n"), F.get(tokens, F.lit(0)).try_cast("int").alias("k"), *numbers)
+
+    def verdict(p: Column) -> Column:
+        x, y, w, h = p["x"], p["y"], p["w"], p["h"]
         return (
-            F.when(F.size(tokens) != 5, "token_count")
-            .when(klass.isNull(), "class_not_a_number")
-            .when((klass < 0) | (klass >= len(CLASSES)), "class_range")
+            F.when(p["n"] != 5, "token_count")
+            .when(p["k"].isNull(), "class_not_a_number")
+            .when((p["k"] < 0) | (p["k"] >= len(CLASSES)), "class_range")
             .when(~(finite(x) & finite(y) & finite(w) & finite(h)), "not_finite")
             .when((x < 0) | (x > 1) | (y < 0) | (y > 1), "centre_range")
             .when((w <= 0) | (w > 1) | (h <= 0) | (h > 1), "size_range")
         )
 
-    # the lambda binds the tokens, so that they are split once a line
-    return F.get(F.transform(F.array(F.split(F.trim(line), r"\s+")), verdict), F.lit(0))
+    # lambdas bind the tokens and the numbers, so that each is made once a line
+    parsed = F.transform(F.array(F.split(F.trim(line), r"\s+")), parse)
+    return F.get(F.transform(parsed, verdict), F.lit(0))
 
 
 def original_name(exported: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigil.functions.geometry import point_in_polygon
+from vigil.functions.geometry import bounds, in_box, point_in_polygon
 
 EPS = 1e-9
 SESSION = ["camera_id", "session_id"]
@@ -29,7 +29,11 @@ def membership(observations: DataFrame, zones: DataFrame) -> DataFrame:
     Zones are configuration that the driver has read from a file, so their size is bounded and they are broadcast; the
     observations, of which one camera may have most, stay where they are.
     """
-    return observations.join(F.broadcast(zones.where("enabled").drop("polygon")), "camera_id").withColumn("inside", point_in_polygon(F.col("x"), F.col("y"), F.col("edges"))).drop("edges")
+    known = zones.where("enabled").withColumn("box", bounds(F.col("polygon"))).drop("polygon")
+    x, y = F.col("x"), F.col("y")
+    # most points miss the box, and only the others need the edges
+    inside = F.when(in_box(x, y, F.col("box")), point_in_polygon(x, y, F.col("edges"))).otherwise(False)
+    return observations.join(F.broadcast(known), "camera_id").withColumn("inside", inside).drop("edges", "box")
 
 
 def ttl_segments(rows: DataFrame, keys: list[str], ttl: Column) -> DataFrame:
