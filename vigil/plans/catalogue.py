@@ -5,9 +5,9 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-from vigil.plans import datasets, problems, records, rules
+from vigil.plans import datasets, problems, records, rules, stream
 
-MODULES = [rules, records, datasets, problems]
+MODULES = [rules, records, datasets, stream, problems]
 
 
 def _modules() -> list:
