@@ -1,28 +1,15 @@
-"""All registered queries; those of the llm subpackage only if it can be imported."""
+"""All registered queries of the core and the SQL they are checked against."""
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
-
 from vigil.plans import datasets, problems, records, rules, stream
 
 MODULES = [rules, records, datasets, stream, problems]
 
 
-def _modules() -> list:
-    found = list(MODULES)
-    if importlib.util.find_spec("vigil.llm"):
-        try:
-            found.append(importlib.import_module("vigil.llm.queries"))
-        except ModuleNotFoundError:
-            pass
-    return found
-
-
 def queries() -> dict:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
