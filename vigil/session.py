@@ -25,6 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
     """This application's folder for scratch tables; it is removed when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(scratch_root, "local", None)
         if not base or not os.path.isdir(base):
             base = scratch_root.local = tempfile.mkdtemp(prefix="vigil-")
