@@ -59,7 +59,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int, scratch: Scratch,
                 crowded = None
         calm = sides if crowded is None else [s.join(crowded, ["mask", "cell"], "left_anti") for s in sides]
         near = bit_distance(F.col("hl"), F.col("hr")) <= radius
-        met = calm[0].join(calm[1], key).where(near if also is None else also & near)
+        # the planner sees neither how many cells a row is put into nor how small a file packs rows, so it must not broadcast
+        met = calm[0].join(calm[1].hint("merge"), key).where(near if also is None else also & near)
         kept.append(scratch.save(met.select("hl", "hr").distinct()))
         if crowded is None:
             break
