@@ -42,33 +42,32 @@ class Limits:
 
 
 def readings(df: DataFrame, source: str, field: str, row_id: str, at, eligible=None, bound: str | None = None, tie: str | None = None) -> DataFrame:
-    """The readings of one field in the schema ``READINGS``: without nulls, one a row id (the first delivered).
+    """The readings of one field; see ``all_readings``."""
+    return all_readings(df, source, {field: bound}, row_id, at, eligible, tie)
 
-    Rows without row id are left out of the result, as no case can name them; a null camera or session is a
-    series of its own.
+
+def all_readings(df: DataFrame, source: str, fields: dict[str, str | None], row_id: str, at, eligible=None, tie: str | None = None) -> DataFrame:
+    """The readings of a table's fields in the schema ``READINGS``: without nulls, one a row id (the first delivered).
+
+    ``fields`` names each field and, or null, the column that bounds it.  Rows without row id are left out of the
+    result, as no case can name them; a null camera or session is a series of its own.
     """
+    number = lambda c: F.col(c).cast("double")
+    values = [F.struct(F.lit(f).alias("field_name"), number(f).alias("value"), (number(b) if b else F.lit(None).cast("double")).alias("bound")) for f, b in fields.items()]
     rows = df.where(F.col(row_id).isNotNull()).select(
         F.col(row_id).cast("long").alias("row_id"),
         F.struct(
             (F.col(tie) if tie else F.lit(0)).alias("tie"), at.alias("at"), F.coalesce(F.col("camera_id"), F.lit("")).alias("camera_id"),
             F.coalesce(F.col("session_id"), F.lit("")).alias("session_id"), (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("eligible"),
-            F.col(field).cast("double").alias("value"), (F.col(bound) if bound else F.lit(None)).cast("double").alias("bound"),
+            F.array(*values).alias("v"),
         ).alias("r"),
     )
     return (
-        rows.groupBy("row_id").agg(F.min("r").alias("r")).where("r.value is not null")
-        .select(F.lit(source).alias("source_table"), F.lit(field).alias("field_name"), "r.camera_id", "r.session_id", "row_id", "r.at", "r.eligible", "r.value", "r.bound")
+        rows.groupBy("row_id").agg(F.min("r").alias("r")).select("row_id", "r.*").select("*", F.explode("v").alias("x")).where("x.value is not null")
+        .select(F.lit(source).alias("source_table"), "x.field_name", "camera_id", "session_id", "row_id", "at", "eligible", "x.value", "x.bound")
     )
 
 
-def _new_series(t: dict[str, np.ndarray]) -> np.ndarray:
-    n = len(t["row_id"])
-    new = np.ones(n, bool)
-    if n > 1:
-        new[1:] = (t["series"][1:] != t["series"][:-1])
-    return new
-
-
 def _neighbours(good: np.ndarray, series: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each reading the positions (or -1) of the k good readings of its series before it and after it."""
     n = len(good)
@@ -296,8 +295,6 @@ def camera_readings(status: DataFrame, metrics: DataFrame) -> DataFrame:
     """The readings of the three monitored fields; a status row of unreadable time counts at its arrival."""
     when = F.coalesce(instant(F.col("updated_at_utc")), F.col("received_at").cast("timestamp"))
     running = F.lower(F.trim("state")) == "running"
-    return (
-        readings(status, "runtime_status", "processing_fps", "status_id", when, running, tie="received_at")
-        .unionByName(readings(status, "runtime_status", "frames_dropped", "status_id", when, running, bound="frames_received", tie="received_at"))
-        .unionByName(readings(metrics, "rtsp_metrics", "reported_source_fps", "metric_id", F.col("snapshot_at").cast("timestamp")))
+    return all_readings(status, "runtime_status", {"processing_fps": None, "frames_dropped": "frames_received"}, "status_id", when, running, tie="received_at").unionByName(
+        all_readings(metrics, "rtsp_metrics", {"reported_source_fps": None}, "metric_id", F.col("snapshot_at").cast("timestamp"))
     )
