@@ -180,7 +180,8 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
     pieces = placed.where(F.col("source").isin(picked)).join(shift, ["source", "part"]).select("doc_id", "source", first.alias("a"), (first + F.col("n_tokens")).alias("z")).select(
         "doc_id", "source", "a", "z", F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor((F.col("z") - 1) / BLOCK))).alias("block")
     ).select("doc_id", "source", "block", (F.greatest(F.col("block") * BLOCK, "a") - F.col("a")).alias("token_start"), (F.least((F.col("block") + 1) * BLOCK, "z") - F.col("a")).alias("token_end"))
-    drawn = scratch.save(chosen.join(pieces, ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "token_start", "token_end"))
+    # slots come out of few rows of draws, which the planner would take for a small side
+    drawn = scratch.save(chosen.join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "token_start", "token_end"))
     goal = F.broadcast(spark.createDataFrame([(t.source, t.share, share.get(t.source, 0.0), t.repeats, held.get(t.source, 0)) for t in wanted], "source string, target_share double, feasible_share double, max_repeats int, available_tokens long"))
     used = drawn.groupBy("source").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("_n"), F.max("pass").alias("_p"))
     total = F.broadcast(used.agg(F.sum("_n").alias("_all")))
