@@ -174,3 +174,11 @@ with recursive e as (
 reach(a, b) as (select a, a from e union select r.a, e.b from reach r join e on e.a = r.b)
 select a image_id, min(b) group_image_id from reach group by 1""",
 }
+SQL["p1_round_report"] = f"""with f as ({SQL['p1_found']}), k as (select record_id, min(selection_round) selection_round from validation_records group by 1)
+select selection_round, count(*) n_held from f join k using (record_id) group by 1"""
+SQL["p4_overlap_report"] = f"""
+with i as (
+  select distinct image_id, {_SPLIT.format('split')} side, dataset_identity source, {_LOW.format('pixel_hash')} px, perceptual_hash ph from public_images),
+p as (select b.image_id, b.side, b.source, coalesce(a.px = b.px, false) same
+  from (select * from i where side = 'train') a join (select * from i where side in ('val', 'test')) b on a.px = b.px or bit_count(xor(a.ph, b.ph)) <= 3)
+select side, source, count(distinct image_id) n_records, cast(count(*) filter (where same) as bigint) n_exact_pairs, count(*) filter (where not same) n_near_pairs from p group by 1, 2"""
