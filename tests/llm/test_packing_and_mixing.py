@@ -94,6 +94,30 @@ def test_mixture(spark):
     assert sorted(map(key, again.drawn.collect())) == sorted(map(key, rows))
 
 
+def test_scarce_source_does_not_hold_the_total(spark):
+    docs = _documents(spark)
+    wanted = [mixing.Target("big", 0.5, 1), mixing.Target("mid", 0.3, 2), mixing.Target("other", 0.2, 2)]
+    m = mixing.mix(docs, wanted, Scratch(spark))
+    report = {r.source: r for r in m.report.collect()}
+    other, mid, big = (report[s] for s in ("other", "mid", "big"))
+    assert other.n_tokens == 2 * other.available_tokens  # up to its repeats, not a block less
+    assert 0 <= 2 * mid.available_tokens - mid.n_tokens < 2 * mixing.BLOCK
+    assert abs(big.n_tokens / mid.n_tokens - 5 / 3) < 0.01  # what they take over keeps their proportion
+    assert abs(other.shortfall - (0.2 - other.share)) < 1e-12 and other.shortfall > 0.15 and big.shortfall == mid.shortfall == 0
+    assert abs(other.supplied_share - 0.2) < 1e-12 and abs(other.share - other.feasible_share) < 0.001
+    every = m.drawn.where("source = 'other'").groupBy("block", "doc_id", "token_start").agg(F.count_distinct("pass").alias("n")).collect()
+    assert {r.n for r in every} == {2}
+
+
+def test_slots_by_source():
+    share, most, full = {"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 602, "b": 900, "c": 7}, {"a": 600, "b": 899, "c": 6}
+    assert mixing.slots_by_source(share, most, full) == {"a": 600, "b": 300, "c": 7}
+    assert mixing.slots_by_source(share, most, full, 50) == {"a": 30, "b": 15, "c": 5}
+    assert mixing.slots_by_source(share, most, full, 97) == {"a": 60, "b": 30, "c": 7}
+    assert mixing.slots_by_source(share, most, full, 9_999) == most
+    assert mixing.slots_by_source({}, {}, {}) == {}
+
+
 def test_total_and_empty(spark):
     docs = _documents(spark)
     small = mixing.mix(docs, WANTED, Scratch(spark), total_tokens=20_000)

@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 The documents of a source, in a seeded order, form one stream of tokens that is cut into blocks of fixed length.  Each
-output shard draws how many of its slots go to each source from a multinomial distribution.  The slots of a source
+output shard draws how many of its slots go to each source from a multinomial distribution; slots that a source got
+beyond its number of slots, spread evenly over its draws, are redrawn among the sources that lack some.  The slots of a source
 are numbered through all shards; slot j takes, in pass j // blocks over the source, the block that a pseudorandom
-permutation of that pass gives for j % blocks.  So a block occurs at most once a pass and a document at most ``max_repeats``
+permutation of that pass gives for j % blocks; a source's last block, if it is short, comes last.  So a block occurs at most once a pass and a document at most ``max_repeats``
 times.  Slots and blocks meet in a join on (source, block).
 """
 
@@ -24,7 +25,7 @@ from vigil.session import Scratch
 
 BLOCK = 128
 SHARD = 256  # slots of an output shard
-MARGIN = 5.0  # standard deviations that a drawn count keeps from the most a source can give
+HALF = 0.5  # of the shares must be served in full
 
 
 @dataclass(frozen=True)
@@ -67,16 +68,33 @@ def permuted(index: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def slots_to_draw(share: dict[str, float], most: dict[str, int], wanted: int | None = None) -> int:
-    """The most slots whose multinomial counts stay below ``most`` by MARGIN deviations, but no more than ``wanted``."""
-    def fits(t: float) -> bool:
-        return all(p * t + MARGIN * math.sqrt(t * p * (1 - p)) <= most[s] for s, p in share.items())
+def slots_by_source(share: dict[str, float], most: dict[str, int], full: dict[str, int], wanted: int | None = None) -> dict[str, int]:
+    """Slots of each source, in proportion to ``share`` except that none gets more than ``most`` of it.
 
-    low, high = 0, int(min(most[s] / p for s, p in share.items())) if share else 0
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if fits(middle) else (low, middle - 1)
-    return low if wanted is None else min(low, wanted)
+    The proportion is carried as far as a source can serve it in ``full`` slots without which the sources that fall short would
+    have HALF of the shares, or, if ``wanted`` slots are asked for, until these or all that the sources can serve are given.
+    """
+    order = sorted(share, key=lambda s: (most[s] / share[s], s))
+    if not order:
+        return {}
+    if wanted is None:
+        upto = np.cumsum([share[s] for s in order])
+        last = order[int(np.argmax(upto >= HALF - 1e-9))]
+        total = math.floor(sum(min(most[s], full[last] / share[last] * share[s]) for s in order) + 1e-6)
+    else:
+        total = min(wanted, sum(most.values()))
+    slots, left = {}, total
+    for i, s in enumerate(order):
+        if most[s] / share[s] * sum(share[r] for r in order[i:]) > left:
+            break
+        slots[s] = most[s]
+        left -= most[s]
+    rest = order[len(slots):]
+    exact = {s: left * share[s] / sum(share[r] for r in rest) for s in rest}
+    slots |= {s: math.floor(x) for s, x in exact.items()}
+    for s in sorted(rest, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: total - sum(slots.values())]:
+        slots[s] += 1
+    return slots
 
 
 def _running(sources: list[str]):
@@ -102,9 +120,9 @@ class Mixture:
 def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens: int | None = None, seed: int = 0) -> Mixture:
     """Draw from documents (doc_id, source, n_tokens), one row a document, toward the shares ``wanted``.
 
-    Shares of sources without tokens or repeats are spread over the others in proportion.  The total is the most that all
-    sources can serve at their shares, or ``total_tokens`` if that is less.  Documents of sources without target, and
-    empty ones, are not drawn.
+    Shares of sources without tokens or repeats are spread over the others in proportion (``supplied_share``).  The total
+    is ``total_tokens``, or what ``slots_by_source`` finds.  A source that can't serve its share of that is used up to its repeats, and
+    the others take its slots in proportion (``feasible_share``).  Documents of sources without target, and empty ones, are not drawn.
     """
     spark = sizes.sparkSession
     names = [t.source for t in wanted]
@@ -127,9 +145,11 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
     whole = sum(t.share for t in usable)
     share = {t.source: t.share / whole for t in usable}
     repeats = {t.source: t.repeats for t in usable}
-    slots = slots_to_draw(share, {s: blocks[s] * repeats[s] for s in share}, None if total_tokens is None else -(-total_tokens // BLOCK))
+    full = {s: max(1, held[s] * repeats[s] // BLOCK) for s in share}
+    due = slots_by_source(share, {s: blocks[s] * repeats[s] for s in share}, full, None if total_tokens is None else -(-total_tokens // BLOCK))
+    slots = sum(due.values())
     picked = sorted(share)
-    weights = np.array([share[s] for s in picked])
+    weights = np.array([due[s] / max(1, slots) for s in picked])
     shards = -(-slots // SHARD)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,6 +172,21 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
     for part, k, n in sorted((r.part, r.k, r.n) for r in draws.groupBy("part", "k").agg(F.sum("n").alias("n")).collect()):
         start[part, k] = given.get(k, 0)
         given[k] = given.get(k, 0) + n
+    drawn_slots = np.array([given.get(k, 0) for k in range(len(picked))], np.int64)
+    more = drawn_slots - np.array([due[s] for s in picked], np.int64)
+    over, lack = np.maximum(more, 0), np.cumsum(np.maximum(-more, 0))  # as many in all
+    over_first = np.cumsum(over) - over
+
+    def settle(k: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Source and number of the slots after those beyond a source's number have gone to the sources that lack some."""
+        gone = j * over[k] // drawn_slots[k]  # of the source's slots before this one
+        moved = np.flatnonzero((j + 1) * over[k] // drawn_slots[k] > gone)
+        k_new, j_new = k.copy(), j - gone
+        if len(moved):
+            i = permuted(over_first[k[moved]] + gone[moved], int(over.sum()), _mix(np.array([seed + 1], np.uint64)))
+            to = np.searchsorted(lack, i, side="right")
+            k_new[moved], j_new[moved] = to, drawn_slots[to] + i - (lack[to] - np.maximum(-more, 0)[to])
+        return k_new, j_new
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -160,7 +195,7 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             k, shard = pdf.k.to_numpy()[row], pdf.shard.to_numpy()[row]
             base = np.array([start[p, q] for p, q in zip(pdf.part.tolist(), pdf.k.tolist())], np.int64)
-            j = base[row] + pdf.before.to_numpy()[row] + step
+            k, j = settle(k, base[row] + pdf.before.to_numpy()[row] + step)
             turn, block = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
             for q in np.unique(k):
                 own = k == q
@@ -168,7 +203,10 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
                 turn[own] = j[own] // count
                 with np.errstate(over="ignore"):
                     key = _mix(turn[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(q) * 1_000_003 + seed))
-                block[own] = permuted(j[own] % count, count, key)
+                place, whole = j[own] % count, held[picked[q]] // BLOCK
+                inner = place < whole  # a short last block stays last
+                place[inner] = permuted(place[inner], whole, key[inner])
+                block[own] = place
             slot = permuted(pdf["first"].to_numpy()[row] + step, SHARD, _mix(shard.astype(np.uint64) + np.uint64(seed)))
             yield pd.DataFrame({"shard": shard, "slot": slot, "source": np.array(picked, object)[k], "pass": turn, "block": block})
 
@@ -182,12 +220,14 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
     ).select("doc_id", "source", "block", (F.greatest(F.col("block") * BLOCK, "a") - F.col("a")).alias("token_start"), (F.least((F.col("block") + 1) * BLOCK, "z") - F.col("a")).alias("token_end"))
     # slots come out of few rows of draws, which the planner would take for a small side
     drawn = scratch.save(chosen.join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "token_start", "token_end"))
-    goal = F.broadcast(spark.createDataFrame([(t.source, t.share, share.get(t.source, 0.0), t.repeats, held.get(t.source, 0)) for t in wanted], "source string, target_share double, feasible_share double, max_repeats int, available_tokens long"))
+    goal = F.broadcast(spark.createDataFrame([(t.source, t.share, share.get(t.source, 0.0), due.get(t.source, 0) / max(1, slots), t.repeats, held.get(t.source, 0)) for t in wanted], "source string, target_share double, supplied_share double, feasible_share double, max_repeats int, available_tokens long"))
     used = drawn.groupBy("source").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("_n"), F.max("pass").alias("_p"))
     total = F.broadcast(used.agg(F.sum("_n").alias("_all")))
     n = F.coalesce("_n", F.lit(0))
+    reached = F.coalesce(n / F.col("_all"), F.lit(0.0))
     report = goal.join(used, "source", "left").crossJoin(total).select(
-        "source", "target_share", "feasible_share", "max_repeats", "available_tokens", n.alias("n_tokens"), F.coalesce(n / F.col("_all"), F.lit(0.0)).alias("share"), (F.coalesce("_p", F.lit(-1)) + 1).cast("int").alias("repeats")
+        "source", "target_share", "supplied_share", "feasible_share", "max_repeats", "available_tokens", n.alias("n_tokens"), reached.alias("share"),
+        F.greatest(F.col("target_share") - reached, F.lit(0.0)).alias("shortfall"), (F.coalesce("_p", F.lit(-1)) + 1).cast("int").alias("repeats")
     )
     return Mixture(drawn, report)
 
