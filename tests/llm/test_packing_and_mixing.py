@@ -109,6 +109,15 @@ def test_scarce_source_does_not_hold_the_total(spark):
     assert {r.n for r in every} == {2}
 
 
+def test_no_slot_is_lost(spark):
+    m = mixing.mix(_documents(spark), WANTED, Scratch(spark), total_tokens=10**9)  # all that the sources can serve
+    report = {r.source: r for r in m.report.collect()}
+    assert sum(r.slots_moved for r in report.values()) == 0 and any(r.slots_moved for r in report.values())
+    assert all(r.n_tokens == r.available_tokens * r.max_repeats and r.repeats == r.max_repeats for r in report.values() if r.available_tokens)
+    got = sorted((r.shard, r.slot) for r in m.drawn.select("shard", "slot").distinct().collect())
+    assert got == [(i // mixing.SHARD, i % mixing.SHARD) for i in range(len(got))]  # neither in a shard nor in the last one
+
+
 def test_slots_by_source():
     share, most, full = {"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 602, "b": 900, "c": 7}, {"a": 600, "b": 899, "c": 6}
     assert mixing.slots_by_source(share, most, full) == {"a": 600, "b": 300, "c": 7}

@@ -207,12 +207,14 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
                 inner = place < whole  # a short last block stays last
                 place[inner] = permuted(place[inner], whole, key[inner])
                 block[own] = place
-            slot = permuted(pdf["first"].to_numpy()[row] + step, SHARD, _mix(shard.astype(np.uint64) + np.uint64(seed)))
+            slot, key = pdf["first"].to_numpy()[row] + step, _mix(shard.astype(np.uint64) + np.uint64(seed))
+            size = np.minimum(SHARD, slots - shard * SHARD)
+            for n in np.unique(size):  # the last shard may be smaller
+                own = size == n
+                slot[own] = permuted(slot[own], int(n), key[own])
             yield pd.DataFrame({"shard": shard, "slot": slot, "source": np.array(picked, object)[k], "pass": turn, "block": block})
 
     chosen = draws.mapInPandas(expand, "shard long, slot long, source string, pass long, block long")
-    allowed = F.broadcast(spark.createDataFrame([(s, repeats[s]) for s in picked], "source string, _repeats int"))
-    chosen = chosen.join(allowed, "source").where(F.col("pass") < F.col("_repeats")).drop("_repeats")
     shift = F.broadcast(spark.createDataFrame(offsets, "source string, part int, _offset long"))
     first = F.col("_offset") + F.col("upto") - F.col("n_tokens")
     pieces = placed.where(F.col("source").isin(picked)).join(shift, ["source", "part"]).select("doc_id", "source", first.alias("a"), (first + F.col("n_tokens")).alias("z")).select(
@@ -220,14 +222,15 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
     ).select("doc_id", "source", "block", (F.greatest(F.col("block") * BLOCK, "a") - F.col("a")).alias("token_start"), (F.least((F.col("block") + 1) * BLOCK, "z") - F.col("a")).alias("token_end"))
     # slots come out of few rows of draws, which the planner would take for a small side
     drawn = scratch.save(chosen.join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "token_start", "token_end"))
-    goal = F.broadcast(spark.createDataFrame([(t.source, t.share, share.get(t.source, 0.0), due.get(t.source, 0) / max(1, slots), t.repeats, held.get(t.source, 0)) for t in wanted], "source string, target_share double, supplied_share double, feasible_share double, max_repeats int, available_tokens long"))
+    moved = {s: -int(more[k]) for k, s in enumerate(picked)}  # slots redrawn to the source, below 0: away from it
+    goal = F.broadcast(spark.createDataFrame([(t.source, t.share, share.get(t.source, 0.0), due.get(t.source, 0) / max(1, slots), t.repeats, held.get(t.source, 0), moved.get(t.source, 0)) for t in wanted], "source string, target_share double, supplied_share double, feasible_share double, max_repeats int, available_tokens long, slots_moved long"))
     used = drawn.groupBy("source").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("_n"), F.max("pass").alias("_p"))
     total = F.broadcast(used.agg(F.sum("_n").alias("_all")))
     n = F.coalesce("_n", F.lit(0))
     reached = F.coalesce(n / F.col("_all"), F.lit(0.0))
     report = goal.join(used, "source", "left").crossJoin(total).select(
         "source", "target_share", "supplied_share", "feasible_share", "max_repeats", "available_tokens", n.alias("n_tokens"), reached.alias("share"),
-        F.greatest(F.col("target_share") - reached, F.lit(0.0)).alias("shortfall"), (F.coalesce("_p", F.lit(-1)) + 1).cast("int").alias("repeats")
+        F.greatest(F.col("target_share") - reached, F.lit(0.0)).alias("shortfall"), (F.coalesce("_p", F.lit(-1)) + 1).cast("int").alias("repeats"), "slots_moved"
     )
     return Mixture(drawn, report)
 
