@@ -99,11 +99,11 @@ def _median(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def additive_outliers(x: np.ndarray, series: np.ndarray, spread: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Spikes by a robust first-order autoregression around a moving level, outlier by outlier.
+    """Spikes by the medians of the good readings before and after a reading, outlier by outlier.
 
-    Each round predicts every reading from the median level of the good readings before it and the cleaned last
-    reading; a residual beyond what the threshold allows is tested as additive outlier (off the level before and
-    after) against level shift (off only one of them).  Outliers leave the levels and the next round begins,
+    Each round tests every reading as additive outlier (off the level before and after) against level shift (off only one
+    of them).  The first-order autoregression marks suspects but decides nothing: its clipped term leaves every reading that is
+    off the level before a suspect.  Outliers leave the levels and the next round begins,
     until a round finds none.  At last only runs of at most ``LONGEST`` that both neighbours bound stay.
     """
     n, k = len(x), SIDE
