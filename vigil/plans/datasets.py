@@ -195,7 +195,7 @@ def near_dup_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_group_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Members, splits and review status of each group."""
+    """Members, splits and review status of each group."""
     images = table(spark, folder, "public_images").select("image_id", split_name(F.col("split")).alias("split"), F.lower("pixel_hash").alias("px"), F.col("original_stem").alias("stem")).distinct()
     rows = near_dup_components(spark, folder).join(images, "image_id")
     again = lambda c: rows.where(F.col(c).isNotNull()).groupBy("group_id", c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id").distinct().withColumn(f"same_{c}", F.lit(True))
