@@ -63,7 +63,7 @@ def local_track_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clip_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether an evidence clip holds the frames that its window and any usual frame rate promise, both ends included."""
+    """Not S2, as no table has declared and decoded counts: whether an evidence clip holds the frames that its window and any usual frame rate promise, both ends included."""
     e = table(spark, folder, "evidence_artifacts").where("evidence_id is not null and clip_frame_count is not null and actual_clip_end_seconds is not null and actual_clip_start_seconds is not null")
     span = F.col("actual_clip_end_seconds") - F.col("actual_clip_start_seconds")
     whole = F.exists(F.array(*[F.lit(x) for x in (10.0, 12.5, 15.0, 20.0, 25.0, 30.0)]), lambda fps: F.abs(F.col("clip_frame_count") - span * fps - 1) <= 1)
@@ -71,7 +71,7 @@ def clip_integrity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recorded_flag(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions whose evidence comes from a recording, told by the folder it lies in."""
+    """Not P16, as no table has source_video: sessions, told by the folder, whose evidence has a clip."""
     e = table(spark, folder, "evidence_artifacts").where("event_dir is not null")
     parts = F.split("event_dir", "/")
     return e.select(F.get(parts, F.lit(1)).alias("camera_id"), F.get(parts, F.lit(2)).alias("session_id"), F.contains("clip_path", F.lit(".mp4")).alias("has_clip")).groupBy("camera_id", "session_id").agg(F.bool_or("has_clip").alias("recorded"))
