@@ -17,11 +17,12 @@ HOT_ROWS = 100_000
 def hot_keys(df: DataFrame, key: str, rows: str | None = None, most: int = MOST_HOT, at_least: int = HOT_ROWS) -> DataFrame:
     """At most ``most`` keys that have ``at_least`` rows; ``rows`` names a column that already counts rows."""
     size = F.sum(rows) if rows else F.count(F.lit(1))
-    return (
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(size.alias("_hot_rows"))
-        .where(F.col("_hot_rows") >= at_least)
-        .orderBy(F.desc("_hot_rows"), key).limit(most).select(key)
-    )
+    return hot_list(df.where(F.col(key).isNotNull()).groupBy(key).agg(size.alias("_hot_rows")), key, "_hot_rows", most, at_least)
+
+
+def hot_list(counted: DataFrame, key: str, rows: str, most: int = MOST_HOT, at_least: int = HOT_ROWS) -> DataFrame:
+    """The hot keys of a table that has one row a key and its number of rows."""
+    return counted.where(F.col(key).isNotNull() & (F.col(rows) >= at_least)).orderBy(F.desc(rows), key).limit(most).select(key)
 
 
 def skew_join(left: DataFrame, unique: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
