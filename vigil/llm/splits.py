@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import split_name, strip
 from vigil.llm.components import hash_to_min
-from vigil.operators.skew import skew_join
+from vigil.operators.skew import HOT_ROWS, hot_list, skew_join
 from vigil.session import Scratch
 
-LARGE = 2000  # a component of at least 1/LARGE of all rows is placed by size; there are at most LARGE
+TRIES = 64  # seeds of the hashing that are weighed for each class of sizes
+FRACTIONS = (1 / 16, 1 / 256, 1 / 4096)  # of all rows, the least sizes of the classes of components but the last
 
 
 def key_value(value: Column, file_suffix: bool = False) -> Column:
@@ -55,31 +56,53 @@ def inconsistent(rows: DataFrame, keys: list[str], split: str) -> DataFrame:
     return long.where("k.key_value is not null").groupBy("k.key_field", "k.key_value").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("key_field", "key_value")
 
 
-def assign(rows: DataFrame, shares: dict[str, float], scratch: Scratch, seed: int = 0) -> DataFrame:
+def _choice(weights: dict[str, float], seed: Column) -> Column:
+    """The split of a component by weighted rendezvous hashing: of the scores -ln(h) / weight, h uniform, the smallest wins."""
+    uniform = lambda s: (F.xxhash64("component", F.lit(s), seed).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    return F.array_min(F.array(*[F.struct((-F.log(uniform(s)) / w).alias("x"), F.lit(s).alias("s")) for s, w in sorted(weights.items()) if w > 0]))["s"]
+
+
+def assign(rows: DataFrame, shares: dict[str, float], scratch: Scratch, seed: int = 0, tries: int = TRIES) -> DataFrame:
     """``rows`` with the column ``split`` such that components stay whole and splits come near ``shares``.
 
-    Large components (at least 1/LARGE of the rows, so at most LARGE of them) go, largest first, to the split that
-    lacks most rows.  All others choose by weighted rendezvous hashing: of the scores -ln(h) / weight of the splits,
-    h uniform from the component's hash, the smallest wins; weights are what the large ones left of the targets.
+    Every component chooses by weighted rendezvous hashing.  Components are hashed by classes of size, those with at least a
+    FRACTIONS[0] of all rows first: the weights of a class are what the larger classes left of the targets, and of ``tries``
+    seeds the one is taken whose choices leave the class nearest to them.  One aggregate a class weighs all seeds; a number
+    a seed and split comes to the driver.  Shares that are not positive get nothing; no rows give no rows.
     """
-    sizes = scratch.save(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")), total=F.sum("n"))
+    sizes = scratch.save(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")), total=F.sum("n"), most=F.max("n"))
     total = scratch.watched(sizes, "total") or 0
-    whole = sum(shares.values()) or 1.0
-    lack = {s: total * w / whole for s, w in shares.items() if w > 0}
-    large = sizes.where(F.col("n") >= max(2, math.ceil(total / LARGE))).orderBy(F.desc("n"), "component").limit(LARGE).collect()
-    placed = []
-    for r in large:
-        s = max(sorted(lack), key=lack.__getitem__)
-        lack[s] -= r.n
-        placed.append((r.component, s))
-    weights = {s: max(x, 0.0) for s, x in lack.items()}
-    if not any(weights.values()):
-        weights = {s: w for s, w in shares.items() if w > 0}
-    score = lambda s: -F.log(((F.xxhash64("component", F.lit(s), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))) + 0.5) / float(1 << 52))
-    choice = F.array_min(F.array(*[F.struct((score(s) / w).alias("x"), F.lit(s).alias("s")) for s, w in sorted(weights.items()) if w > 0]))["s"]
-    # at most LARGE rows are broadcast
-    fixed = F.broadcast(rows.sparkSession.createDataFrame(placed, "component string, _fixed string"))
-    return rows.join(fixed, "component", "left").withColumn("split", F.coalesce("_fixed", choice)).drop("_fixed")
+    wanted = {s: w for s, w in shares.items() if w and w > 0}
+    lack = {s: total * w / sum(wanted.values()) for s, w in wanted.items()}
+    bounds = [None, *[max(1, math.ceil(total * f)) for f in FRACTIONS], 1]
+    chosen = None
+    for upper, lower in zip(bounds, bounds[1:]):
+        own = F.col("n") >= lower
+        if upper is not None:
+            own = own & (F.col("n") < upper)
+        weights = {s: max(x, 0.0) for s, x in lack.items()}
+        if not any(weights.values()):
+            weights = wanted
+        if not weights or (upper is not None and upper <= lower):
+            continue
+        tried = sizes.where(own).select("component", "n", F.explode(F.sequence(F.lit(seed), F.lit(seed + tries - 1))).alias("seed"))
+        got: dict[int, dict[str, int]] = {}
+        for r in tried.groupBy("seed", _choice(weights, F.col("seed")).alias("s")).agg(F.sum("n").alias("n")).collect():
+            got.setdefault(r.seed, {})[r.s] = r.n
+        if not got:
+            continue
+        held = sum(next(iter(got.values())).values())
+        # what the class should give each split: its weight's part of the class
+        due = {s: held * w / sum(weights.values()) for s, w in weights.items()}
+        best = min(sorted(got), key=lambda k: max(abs(got[k].get(s, 0) - due[s]) for s in due))
+        lack = {s: x - got[best].get(s, 0) for s, x in lack.items()}
+        one = sizes.where(own).select("component", "n", _choice(weights, F.lit(best)).alias("split"))
+        chosen = one if chosen is None else chosen.unionByName(one)
+    if chosen is None:
+        return rows.withColumn("split", F.lit(None).cast("string"))
+    if (scratch.watched(sizes, "most") or 0) >= HOT_ROWS:
+        return skew_join(rows, chosen.drop("n"), "component", "inner", hot_list(sizes, "component", "n"))
+    return rows.join(chosen.drop("n"), "component")
 
 
 def share_report(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
@@ -93,8 +116,6 @@ def share_report(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
     )
 
 
-
-
 def crops(person_crops: DataFrame, scratch: Scratch) -> DataFrame:
     """``related`` over crops by source group and clip, with the split they bear so far."""
     keys = {"source_group": key_value(F.col("source_group")), "source_clip": key_value(F.col("source_clip"), file_suffix=True)}
