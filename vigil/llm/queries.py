@@ -48,21 +48,21 @@ def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     return splits.share_report(splits.assign(splits.crops(table(spark, folder, "person_crops"), scratch), shares, scratch), shares)
 
 
-def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    scratch = Scratch(spark)
-    train, held_out = overlap.sides(table(spark, folder, "public_images"), "image_id", "split", "pixel_hash", "perceptual_hash", scratch, source=F.col("dataset_identity"))
-    return overlap.overlaps(train, held_out, scratch), held_out
+def _sides(spark: SparkSession, folder: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    return overlap.sides(table(spark, folder, "public_images"), "image_id", "split", "pixel_hash", "perceptual_hash", scratch, source=F.col("dataset_identity"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of images, one in train and one in val or test, that are the same or nearly so."""
-    pairs, _ = _overlaps(spark, folder)
+    scratch = Scratch(spark)
+    pairs = overlap.overlaps(*_sides(spark, folder, scratch), scratch)
     return pairs.select(F.least("train_id", "held_out_id").alias("image_id_a"), F.greatest("train_id", "held_out_id").alias("image_id_b"))
 
 
 def p4_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per split and dataset of the held-out image."""
-    return overlap.overlap_report(*_overlaps(spark, folder), "source")
+    scratch = Scratch(spark)
+    return overlap.overlap_report(*_sides(spark, folder, scratch), "source", scratch)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,4 +181,4 @@ with i as (
   select distinct image_id, {_SPLIT.format('split')} side, dataset_identity source, {_LOW.format('pixel_hash')} px, perceptual_hash ph from public_images),
 p as (select b.image_id, b.side, b.source, coalesce(a.px = b.px, false) same
   from (select * from i where side = 'train') a join (select * from i where side in ('val', 'test')) b on a.px = b.px or bit_count(xor(a.ph, b.ph)) <= 3)
-select side, source, count(distinct image_id) n_records, cast(count(*) filter (where same) as bigint) n_exact_pairs, count(*) filter (where not same) n_near_pairs from p group by 1, 2"""
+select side, source, count(distinct image_id) n_records, count(*) filter (where same) n_exact_pairs, count(*) filter (where not same) n_near_pairs from p group by 1, 2"""
