@@ -20,7 +20,7 @@ def test_label_errors(spark):
         "0 0.5 0.5 0.2 0.3": None, "4 0.5 0.5 0.2 0.3": "class_range", "-1 0.5 0.5 0.2 0.3": "class_range", "0 -0.05 0.5 0.2 0.3": "centre_range", "0 0.5 1.5 0.2 0.3": "centre_range",
         "0 0.5 0.5 0.0 0.3": "size_range", "0 0.5 0.5 0.2 -0.1": "size_range", "0 0.5 0.5 0.2": "token_count", "0 0.5 0.5 0.2 0.3 1": "token_count", "abc 0.5 0.5 0.2 0.3": "class_not_a_number", "0 nan 0.5 0.2 0.3": "not_finite",
     }
-    got = {r.line: r.e for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", D.label_error(F.col("line")).alias("e")).collect()}
+    got = {r.line: r.e for r in spark.createDataFrame([(x,) for x in lines], "line string").transform(D.judged).withColumnRenamed("error", "e").collect()}
     assert got == lines
 
 

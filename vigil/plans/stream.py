@@ -79,10 +79,10 @@ def recorded_flag(spark: SparkSession, folder: str) -> DataFrame:
 
 def first_label_errors(spark: SparkSession, folder: str) -> DataFrame:
     """The first three broken label lines of each split, in the order of image and line."""
-    from vigil.operators.datasets import label_error
+    from vigil.operators.datasets import judged
     from vigil.plans.datasets import _lines
 
-    bad = _lines(spark, folder).select("split", "image", "line_no", label_error(F.col("line")).alias("error")).where("error is not null")
+    bad = judged(_lines(spark, folder)).where("error is not null").select("split", "image", "line_no", "error")
     return bad.withColumn("n", F.row_number().over(W.partitionBy("split").orderBy("image", "line_no", "error"))).where("n <= 3")
 
 
