@@ -95,6 +95,69 @@ def test_chunks_do_not_matter(spark, monkeypatch, chunk):
     assert _got(spark, series) == whole and sum(r == "spike" for r in whole.values()) >= 45
 
 
+def test_few_rounds_and_neighbours_are_made_up_for(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = _rate(rng, 1200)
+    for i in range(30, 1170, 4):  # so dense that levels are right only after several rounds
+        values[i] += float(rng.choice([30, 60, 90]))
+        values[i + 1] += float(rng.choice([0, 45]))
+    counts = [float(20 * i) for i in range(1200)]
+    for i in range(50, 1100, 9):
+        counts[i : i + 3] = [counts[i] + 1e5, counts[i] + 2e5, 0.0]
+    series = {("runtime_status", "processing_fps", "c", "s"): _all(values), ("runtime_status", "frames_dropped", "c", "s"): [(v, True, 1e9) for v in counts]}
+    whole = _got(spark, series)
+    monkeypatch.setattr(S, "CHUNK", 100)
+    monkeypatch.setattr(S, "ROUNDS", 1)
+    monkeypatch.setattr(S, "HALO", 12)
+    tried = []
+    judge = S._judge
+    monkeypatch.setattr(S, "_judge", lambda limits, rounds, total: (tried.append(rounds), judge(limits, rounds, total))[1])
+    assert _got(spark, series) == whole and len(whole) > 300 and tried[:2] == [1, 4]
+
+
+def test_the_autoregression_decides():
+    n, spread = 40, np.full(40, 1.0)
+    x = np.where(np.arange(n) % 2, 0.2, -0.2)
+    x[19:22] = 3.0, 11.0, 3.0  # a slow wave's crest rather than a spike, if readings carry over
+    series, usable = np.zeros(n, int), np.ones(n, bool)
+    off = lambda phi: np.flatnonzero(S.additive_outliers(x, series, spread, np.full(n, phi), usable)).tolist()
+    assert off(0.0) == [20] and off(0.8) == []
+    x[19:22] = -3.0, 9.0, -3.0  # from below, the same reading is further off than its level tells
+    assert off(0.0) == [] and off(0.8) == [20]
+
+
+def test_coefficient_of_each_source(spark):
+    rng = np.random.default_rng(7)
+    smooth, e = [0.0], rng.normal(0, 1, 4000)
+    for v in e:
+        smooth.append(0.8 * smooth[-1] + float(v))
+    rows = {("runtime_status", "processing_fps", "smooth", "s"): _all([v + 50 for v in smooth]), ("runtime_status", "processing_fps", "rough", "s"): _all(_rate(rng, 4000, 50.0, 1.0))}
+    frame = _frame(spark, rows)
+    placed = frame.orderBy("camera_id", "at").toPandas()
+    for c in ("smooth", "rough"):
+        v = placed[placed.camera_id == c].value.to_numpy()
+        one, two = np.median(np.abs(np.diff(v))), np.median(np.abs(v[2:] - v[:-2]))
+        phi = (two / one) ** 2 - 1
+        assert abs(phi - {"smooth": 0.8, "rough": 0.0}[c]) < 0.1
+    assert S.flagged(frame, S.LIMITS).count() < 10
+
+
+def test_steps_over_partition_and_batch_borders():
+    import pyarrow as pa
+
+    values = [1.0, 4.0, 9.0, 16.0, 25.0, 36.0, 5.0, 6.0]
+    session = ["a"] * 6 + ["b"] * 2
+    for cuts in ([8], [1, 1, 1, 1, 1, 1, 1, 1], [3, 5], [7, 1], [1, 7]):
+        batches, at = [], 0
+        for n in cuts:
+            part = slice(at, at + n)
+            batches.append(pa.RecordBatch.from_pydict({"source_table": ["t"] * n, "field_name": ["f"] * n, "camera_id": ["c"] * n, "session_id": session[part], "value": values[part]}))
+            at += n
+        got = pa.Table.from_batches(S._with_steps(iter(batches))).to_pydict()
+        assert got["step"] == [None, 3.0, 5.0, 7.0, 9.0, 11.0, None, 1.0] and got["step2"] == [None, None, 8.0, 12.0, 16.0, 20.0, None, None]
+        assert got["edge"] == [True, True, False, False, False, False, True, True] and got["value"] == values
+
+
 def test_repeated_and_null_rows(spark):
     rows = [(1, "c", "s", START, 5.0, "x"), (1, "c", "s", START, 5.0, "x"), (None, "c", "s", START, 9.0, "x"), (2, None, None, START, None, "x"), (3, None, None, None, 7.0, "x")]
     from pyspark.sql import functions as F

@@ -1,9 +1,14 @@
 """Implausible spikes in measurements: physical limits, additive outliers, counter disorder and stuck runs.
 
+A rate is modelled as a first-order autoregression about a level that may shift.  The coefficient and the scale are
+those of the source (the camera's field), from medians of the absolute steps to the reading before and to the one before that, so that
+neither spikes nor shifts of level bear on them.  A reading is forecast from the readings before it and from those after it; outliers are
+taken out round by round until a round finds none.
+
 Readings of many series are sorted once by range; a position in that order cuts them into chunks of equal size that
-carry ``HALO`` neighbours of both sides, so neither a hot camera nor an endless session ever lands in one task, and
-every verdict is the same wherever the cuts fall.  The verdict on a reading depends on at most ``HALO`` readings of its
-series on either side.
+carry neighbours of both sides, so neither a hot camera nor an endless session ever lands in one task.  Every chunk tells which of its own
+readings might look further than its neighbours, or still changed in its last round; if there are any, the chunks are judged again with
+more of both.  So verdicts are those of the whole series wherever the cuts fall, and no round is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +27,11 @@ from vigil.operators.ordered import with_offsets
 from vigil.session import Scratch
 
 CHUNK = 65_536
-HALO = 96
+HALO = 128  # neighbours of a chunk on either side at first
+ROUNDS = 8  # of taking out outliers at first
+WIDER = 4  # times as many of both where that doesn't do
+CLIP = 3.0  # usual spreads that a neighbour's deviation from its level counts at most
+PHI = 0.9  # the largest coefficient
 SIDE = 5  # readings that make a level
 LONGEST = 3  # readings of a spike
 TIMES = 10.0  # usual spreads that a spike is off
@@ -98,70 +107,117 @@ def _median(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.where(count > 0, (lower + upper) / 2, np.nan)
 
 
-def additive_outliers(x: np.ndarray, series: np.ndarray, spread: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Spikes by the medians of the good readings before and after a reading, outlier by outlier.
+class Sight:
+    """Which readings of a chunk might be judged otherwise if more of the series were seen.
 
-    Each round tests every reading as additive outlier (off the level before and after) against level shift (off only one
-    of them).  The first-order autoregression marks suspects but decides nothing: its clipped term leaves every reading that is
-    off the level before a suspect.  Outliers leave the levels and the next round begins,
-    until a round finds none.  At last only runs of at most ``LONGEST`` that both neighbours bound stay.
+    ``cut`` tells whether the series goes on before the first and after the last reading.  A reading is unsure once it looked for
+    neighbours beyond a cut, or at readings that were unsure.  ``late`` readings changed in the last round allowed.
     """
-    n, k = len(x), SIDE
+
+    def __init__(self, series: np.ndarray, cut: tuple[bool, bool]):
+        n = len(series)
+        new = np.r_[True, series[1:] != series[:-1]] if n else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        self.first, self.last = start[run], np.r_[start[1:], n][run] - 1 if n else start
+        self.cut_before = (self.first == 0) & cut[0]
+        self.cut_after = (self.last == n - 1) & cut[1]
+        self.unsure, self.late = np.zeros(n, bool), np.zeros(n, bool)
+
+    def looked(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Readings have looked as far as the positions ``low`` and ``high``, or past all of their series where these are -1."""
+        beyond = ((low < 0) & self.cut_before) | ((high < 0) & self.cut_after)
+        upto = np.r_[0, np.cumsum(self.unsure)]
+        self.unsure |= beyond | (upto[np.where(high < 0, self.last, high) + 1] > upto[np.where(low < 0, self.first, low)])
+
+
+def _rounds(find, good: np.ndarray, series: np.ndarray, k: int, rounds: int, sight: Sight) -> np.ndarray:
+    """Take what ``find`` (positions of good neighbours before, after, good) finds out of ``good`` until it finds nothing."""
+    calm = None
+    for r in range(rounds):
+        if calm is None:
+            before, after = _neighbours(good, series, k)
+            found = find(before, after, good)
+            if found.any():
+                good = good & ~found
+                if r == rounds - 1:
+                    sight.late |= found
+            else:
+                calm = before, after
+        before_now = sight.unsure.sum()
+        sight.looked(before[:, -1], after[:, -1])  # what lies beyond might have gone on
+        if calm is not None and sight.unsure.sum() == before_now:
+            break
+    return good
+
+
+def additive_outliers(x: np.ndarray, series: np.ndarray, spread: np.ndarray, phi: np.ndarray, usable: np.ndarray, rounds: int = 1000, sight: Sight | None = None) -> np.ndarray:
+    """Spikes by robust autoregression with iterative tests of additive outliers against level shifts.
+
+    The forecast of a reading is the level (the median of ``SIDE`` good readings) before it plus ``phi``, to the power of the steps
+    between, times the nearest good reading's deviation from that level, clipped at CLIP spreads; the backcast is the same from after.
+    A residual over TIMES spreads against the forecast alone is a shift of level; against both, the reading is an
+    additive outlier.  Outliers leave levels and neighbours, and the next round begins.  At last only runs of at most ``LONGEST`` outliers
+    stay whose neighbours hold the level on either side.
+    """
+    sight = sight or Sight(series, (False, False))
     allow = TIMES * spread + 1e-9 * np.maximum(1, np.abs(np.where(usable, x, 0)))
-    outlier = np.zeros(n, bool)
-    d = np.zeros(n)
-    d[1:] = np.where((series[1:] == series[:-1]) & usable[1:] & usable[:-1], x[1:] - x[:-1], 0)
-    moved = np.abs(d[:-1]) > 0
-    phi = float(np.clip(1 + np.median(np.sign(d[:-1][moved]) * d[1:][moved] / np.abs(d[:-1][moved])), -0.5, 0.5)) if moved.any() else 0.0
-    level_before = level_after = np.full(n, np.nan)
-    for _ in range(HALO // (2 * k)):
-        good = usable & ~outlier
-        before, after = _neighbours(good, series, k)
-        level_before, level_after = _median(x, before), _median(x, after)
-        last = np.where(before[:, 0] >= 0, x[before[:, 0]], np.nan)
+    place = np.arange(len(x))
+
+    def levels(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level of the good readings at these positions, and the deviation from it that they forecast."""
+        level = _median(x, at)
+        near = np.where(at[:, 0] >= 0, x[at[:, 0]], np.nan)
+        return level, phi ** np.abs(place - at[:, 0]) * np.clip(near - level, -CLIP * spread, CLIP * spread)
+
+    def find(before: np.ndarray, after: np.ndarray, good: np.ndarray) -> np.ndarray:
         with np.errstate(invalid="ignore"):
-            residual = np.abs(x - (level_before + phi * np.clip(last - level_before, -allow, allow)))
-            suspect = residual > allow * (1 - abs(phi))  # holds every reading that is off the level before
-            shift = (np.abs(x - level_before) <= allow) | (np.abs(x - level_after) <= allow)
-            found = good & suspect & ~shift & (before[:, 0] >= 0) & (after[:, 0] >= 0)
-        if not found.any():
-            break
-        outlier |= found
+            forecast, backcast = (np.add(*levels(at)) for at in (before, after))
+            off, shifted = np.abs(x - forecast) > allow, ~(np.abs(x - backcast) > allow)
+            return good & off & ~shifted & (before[:, 0] >= 0) & (after[:, 0] >= 0)
+
+    good = _rounds(find, usable, series, SIDE, rounds, sight)
+    outlier = usable & ~good
+    if not outlier.any():
+        return outlier
+    before, after = _neighbours(good, series, SIDE)
+    sight.looked(before[:, -1], after[:, -1])
     # runs of outliers in the order of readings, bounded by readings that hold the level
     starts = outlier & ~np.r_[False, outlier[:-1] & (series[1:] == series[:-1])]
     run = np.cumsum(starts) - 1
-    length = np.bincount(run[outlier], minlength=starts.sum()) if outlier.any() else np.zeros(0, int)
-    if not outlier.any():
-        return outlier
+    length = np.bincount(run[outlier], minlength=starts.sum())
     first = np.flatnonzero(starts)
-    prev, nxt = _neighbours(usable & ~outlier, series, 1)
-    last_of = first + length - 1
+    last = first + length - 1
+    prev, nxt = before[first, 0], after[last, 0]
+    # a run is judged as one: unsure if any of it or of its neighbours is
+    upto = np.r_[0, np.cumsum(sight.unsure)]
+    doubt = upto[np.where(nxt >= 0, nxt, last) + 1] > upto[np.where(prev >= 0, prev, first)]
     with np.errstate(invalid="ignore"):
-        held = (np.abs(x[prev[first, 0]] - level_before[first]) <= allow[first]) & (np.abs(x[nxt[last_of, 0]] - level_after[last_of]) <= allow[last_of])
+        held = (np.abs(x[prev] - _median(x, before[first])) <= allow[first]) & (np.abs(x[nxt] - _median(x, after[last])) <= allow[last]) & (prev >= 0) & (nxt >= 0)
+    sight.unsure |= outlier & doubt[np.clip(run, 0, None)]
     return outlier & (held & (length <= LONGEST))[np.clip(run, 0, None)]
 
 
-def disorder(x: np.ndarray, series: np.ndarray, usable: np.ndarray) -> np.ndarray:
+def disorder(x: np.ndarray, series: np.ndarray, usable: np.ndarray, rounds: int = 1000, sight: Sight | None = None) -> np.ndarray:
     """Readings of a running count above those that follow or below those before, by medians of ``SIDE`` on each side.
 
     A reading that both sides contradict goes first, since it also makes its neighbours look wrong.
     """
-    bad = np.zeros(len(x), bool)
-    for strict in (True, False):
-        for _ in range(HALO // (2 * SIDE)):
-            good = usable & ~bad
-            before, after = _neighbours(good, series, SIDE)
+    sight = sight or Sight(series, (False, False))
+
+    def find(strict: bool):
+        def inner(before: np.ndarray, after: np.ndarray, good: np.ndarray) -> np.ndarray:
             low, high = _median(x, before), _median(x, after)
             with np.errstate(invalid="ignore"):
-                above, below = x > high, x < low
-                if strict:  # outside the span of both sides, which agree with each other
-                    found = good & (low <= high) & (above | below) & ~np.isnan(low)
-                else:
-                    found = good & (above | below)
-            if not found.any():
-                break
-            bad |= found
-    return bad
+                out = good & ((x > high) | (x < low))
+                # outside the span of both sides, which agree with each other
+                return out & (low <= high) if strict else out
+        return inner
+
+    good = usable
+    for strict in (True, False):
+        good = _rounds(find(strict), good, series, SIDE, rounds, sight)
+    return usable & ~good
 
 
 def stuck_runs(x: np.ndarray, series: np.ndarray) -> np.ndarray:
@@ -173,15 +229,18 @@ def stuck_runs(x: np.ndarray, series: np.ndarray) -> np.ndarray:
     return (np.bincount(run) >= STUCK)[run]
 
 
-def flag(t: dict[str, np.ndarray], limits: dict[tuple[str, str], Limits]) -> np.ndarray:
-    """Codes of the readings of one chunk: 0 fine, 1 limit, 2 spike, 3 disorder, 4 stuck."""
+def flag(t: dict[str, np.ndarray], limits: dict[tuple[str, str], Limits], rounds: int = 1000, cut: tuple[bool, bool] = (False, False)) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the readings of one chunk (0 fine, 1 limit, 2 spike, 3 disorder, 4 stuck), and which of them more might change.
+
+    ``cut``: whether the series of the first and of the last reading go on beyond the chunk.
+    """
     x, series, spread, bound = t["value"], t["series"], t["spread"], t["bound"]
-    code = np.zeros(len(x), np.int8)
+    code, unsure = np.zeros(len(x), np.int8), np.zeros(len(x), bool)
     for (source, field), rule in limits.items():
         own = (t["source_table"] == source) & (t["field_name"] == field)
         if not own.any():
             continue
-        v, s, w = x[own], series[own], np.nan_to_num(spread[own])
+        v, s, w, phi = x[own], series[own], np.nan_to_num(spread[own]), np.nan_to_num(t["phi"][own])
         finite = np.isfinite(v)
         with np.errstate(invalid="ignore"):
             off = ~finite | (v < rule.low) | (v > rule.high) | ((v == rule.low) & rule.low_is_bad)
@@ -190,39 +249,79 @@ def flag(t: dict[str, np.ndarray], limits: dict[tuple[str, str], Limits]) -> np.
         got = np.zeros(len(v), np.int8)
         got[stuck_runs(v, s) & finite & (w > 0)] = 4
         safe = np.where(finite, v, 0.0)
+        sight = Sight(s, (cut[0] and bool(own[0]), cut[1] and bool(own[-1])))
         if rule.kind == "rate":
-            got[additive_outliers(safe, s, w, finite & ~off)] = 2
+            got[additive_outliers(safe, s, w, phi, finite & ~off, rounds, sight)] = 2
         else:
-            got[disorder(safe, s, finite & ~off)] = 3
+            got[disorder(safe, s, finite & ~off, rounds, sight)] = 3
         got[off] = 1
-        code[own] = got
-    return code
+        code[own], unsure[own] = got, sight.unsure | sight.late
+    return code, unsure
 
 
 NAMES = np.array(["", "limit", "spike", "disorder", "stuck"], dtype=object)
+OPEN = "open"  # the reason of a row that stands for a chunk to be judged again
 
 
 def _columns(batch: pa.Table | pd.DataFrame) -> dict[str, np.ndarray]:
     return {c: batch[c].to_numpy() for c in batch.columns}
 
 
-def _with_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the absolute step from the reading before, null at the first of a series or partition."""
-    tail = None
+SERIES = ["source_table", "field_name", "camera_id", "session_id"]
+STEPS = "step double, step2 double, edge boolean"
+
+
+def _with_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the absolute steps from the reading before and from the one before that, null where the series or the partition begins.
+
+    The first two and the last two rows of the partition are marked.
+    """
+    keys: list[np.ndarray] = [np.zeros(0, object)] * len(SERIES)
+    values, held, seen = np.zeros(0), None, 0
+
+    def done(b: pa.RecordBatch, edge: np.ndarray) -> pa.RecordBatch:
+        return b.append_column("edge", pa.array(edge))
+
     for b in batches:
         if not b.num_rows:
             continue
-        key = [b.column(c).to_numpy(zero_copy_only=False) for c in ("source_table", "field_name", "camera_id", "session_id")]
-        v = b.column("value").to_numpy(zero_copy_only=False)
-        step, same = np.full(len(v), np.nan), np.zeros(len(v), bool)
-        same[1:] = np.logical_and.reduce([k[1:] == k[:-1] for k in key])
-        with np.errstate(invalid="ignore"):
-            step[1:] = np.abs(v[1:] - v[:-1])
-            if tail is not None:
-                same[0], step[0] = all(k[0] == t for k, t in zip(key, tail[0])), abs(v[0] - tail[1])
-        step[~same | ~np.isfinite(step)] = np.nan
-        tail = [k[-1] for k in key], v[-1]
-        yield b.append_column("step", pa.array(step, from_pandas=True))
+        keys = [np.concatenate([k, b.column(c).to_numpy(zero_copy_only=False)]) for k, c in zip(keys, SERIES)]
+        values = np.concatenate([values, b.column("value").to_numpy(zero_copy_only=False)])
+        for name, lag in (("step", 1), ("step2", 2)):
+            step = np.full(len(values), np.nan)
+            if len(values) > lag:
+                with np.errstate(invalid="ignore"):
+                    step[lag:] = np.abs(values[lag:] - values[:-lag])
+                step[lag:][~np.logical_and.reduce([k[lag:] == k[:-lag] for k in keys])] = np.nan
+            step[~np.isfinite(step)] = np.nan
+            b = b.append_column(name, pa.array(step[len(values) - b.num_rows:], from_pandas=True))
+        edge = np.arange(seen, seen + b.num_rows) < 2
+        seen += b.num_rows
+        keys, values = [k[-2:] for k in keys], values[-2:]
+        if held is not None and b.num_rows < 2:  # the last row but one may lie in the batch before
+            b, edge = pa.Table.from_batches([held[0], b]).combine_chunks().to_batches()[0], np.r_[held[1], edge]
+        elif held is not None:
+            yield done(*held)
+        held = b, edge
+    if held is not None:
+        held[1][-2:] = True
+        yield done(*held)
+
+
+def _seams(placed: DataFrame) -> list[tuple]:
+    """Steps from one partition into the next, from at most four rows a partition."""
+    rows = placed.where("edge").select("_at", *SERIES, "value").orderBy("_at").collect()
+    out = []
+    for j, r in enumerate(rows):
+        place = r._at & (1 << 33) - 1
+        steps = [None, None]
+        for lag in (1, 2):
+            if place < lag <= j and all(r[c] == rows[j - lag][c] for c in SERIES):
+                step = abs(r.value - rows[j - lag].value)
+                steps[lag - 1] = step if np.isfinite(step) else None
+        if steps != [None, None]:
+            out.append((*[r[c] for c in SERIES[:3]], *steps))
+    return out
 
 
 def flagged(rows: DataFrame, limits: dict[tuple[str, str], Limits], scratch: Scratch | None = None) -> DataFrame:
@@ -230,55 +329,67 @@ def flagged(rows: DataFrame, limits: dict[tuple[str, str], Limits], scratch: Scr
 
     ``rows`` has the schema ``READINGS``.  The usual spread of a camera's field is the median absolute step between
     neighbouring finite readings of its sessions (a sketch with relative rank error 1e-4); with spread 0 the
-    camera reports a constant.  An empty input gives an empty result.
+    camera reports a constant.  Its coefficient follows from the median step over two readings: for a first-order autoregression the
+    squares of the two are as 1 : 1 + phi.  An empty input gives an empty result.
     """
     spark = rows.sparkSession
     scratch = scratch or Scratch(spark)
-    order = ["source_table", "field_name", "camera_id", "session_id", "at", "row_id"]
+    order = [*SERIES, "at", "row_id"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sortable = rows.select(*[c.split()[0] for c in READINGS.split(", ")])
     placed = scratch.save(
         sortable.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .mapInArrow(_with_differences, READINGS + ", step double")
+        .mapInArrow(_with_steps, f"{READINGS}, {STEPS}")
         .withColumn("_at", F.monotonically_increasing_id())
     )
     at = with_offsets(placed, "position")
-    camera = ["source_table", "field_name", "camera_id"]
-    # the first reading of a partition lacks its step: at most two rows a partition are put together again
-    part = F.shiftright("_at", 33)
-    ends = placed.groupBy(part.alias("p")).agg(
-        F.min(F.struct("_at", *camera, "session_id", "value")).alias("a"), F.max(F.struct("_at", *camera, "session_id", "value")).alias("z")
-    ).orderBy("p").collect()
-    seams = [
-        (*[r.a[c] for c in camera], abs(r.a.value - q.z.value))
-        for q, r in zip(ends, ends[1:]) if all(q.z[c] == r.a[c] for c in (*camera, "session_id")) and np.isfinite(r.a.value - q.z.value)
-    ]
-    steps = placed.where("step is not null").select(*camera, "step")
+    camera = SERIES[:3]
+    steps = placed.where("step is not null or step2 is not null").select(*camera, "step", "step2")
+    seams = _seams(placed)
     if seams:
-        steps = steps.unionByName(spark.createDataFrame(seams, "source_table string, field_name string, camera_id string, step double"))
-    spread = steps.groupBy(*camera).agg(F.percentile_approx("step", 0.5, 10_000).alias("spread"))
-    chunked = at.select("*", F.floor(F.col("position") / CHUNK).alias("own")).select(
-        "*", F.explode(F.array_distinct(F.array("own", F.floor((F.col("position") - HALO) / CHUNK), F.floor((F.col("position") + HALO) / CHUNK)))).alias("chunk")
-    ).where("chunk >= 0").drop("step")
-    # the spreads of a chunk's cameras travel with it, so that no hot camera is joined row by row
-    wanted = chunked.select("chunk", *camera).distinct().join(spread, camera).select(
-        F.col("chunk").alias("for_chunk"), *[F.col(c).alias(f"for_{c}") for c in camera], "spread"
-    )
+        steps = steps.unionByName(spark.createDataFrame(seams, "source_table string, field_name string, camera_id string, step double, step2 double"))
+    usual = steps.groupBy(*camera).agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in ("step", "step2")])
+    phi = F.when(F.col("step") > 0, F.least(F.lit(PHI), F.greatest(F.lit(-PHI), F.pow(F.col("step2") / F.col("step"), 2) - 1))).otherwise(F.lit(0.0))
+    usual = usual.select(*camera, F.col("step").alias("spread"), F.coalesce(phi, F.lit(0.0)).alias("phi"))
+    schema = "source_table string, field_name string, camera_id string, session_id string, row_id long, at timestamp, value double, reason string"
+    total, rounds, halo = scratch.count(placed), ROUNDS, HALO
+    while True:
+        first, last = F.floor((F.col("position") - halo) / CHUNK), F.floor((F.col("position") + halo) / CHUNK)
+        chunked = at.select(
+            *[c for c in at.columns if c not in ("step", "step2", "edge")], F.floor(F.col("position") / CHUNK).alias("own"),
+            F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit(max(0, total - 1) // CHUNK)))).alias("chunk"),
+        )
+        # what is usual for a chunk's cameras travels with it, so that no hot camera is joined row by row
+        wanted = chunked.select("chunk", *camera).distinct().join(usual, camera, "left").select(
+            F.col("chunk").alias("for_chunk"), *[F.col(c).alias(f"for_{c}") for c in camera], "spread", "phi"
+        )
+        got = scratch.save(chunked.groupBy("chunk").cogroup(wanted.groupBy("for_chunk")).applyInPandas(_judge(limits, rounds, total), schema), F.col("reason") != OPEN, open=F.count_if(F.col("reason") == OPEN))
+        if not scratch.watched(got, "open"):
+            return got
+        scratch.drop(got)
+        rounds, halo = rounds * WIDER, halo * WIDER
+
+
+def _judge(limits: dict[tuple[str, str], Limits], rounds: int, total: int):
+    camera = SERIES[:3]
 
     def judge(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        t = left.sort_values("position", kind="stable").merge(right.rename(columns={f"for_{c}": c for c in camera}).drop(columns="for_chunk"), on=camera, how="left")
+        t = left.merge(right.rename(columns={f"for_{c}": c for c in camera}).drop(columns="for_chunk"), on=camera, how="left")
         t = t.sort_values("position", kind="stable").reset_index(drop=True)
         c = _columns(t)
-        ids = t[["source_table", "field_name", "camera_id", "session_id"]]
-        new = (ids != ids.shift()).any(axis=1).to_numpy()
-        c["series"] = np.cumsum(new)
-        code = flag(c, limits)
-        keep = (code > 0) & (c["own"] == key[0]) & c["eligible"].astype(bool)
-        got = {n: c[n][keep] for n in ("source_table", "field_name", "camera_id", "session_id", "row_id", "at", "value")}
-        return pd.DataFrame(got | {"reason": NAMES[code[keep]]})
-
-    schema = "source_table string, field_name string, camera_id string, session_id string, row_id long, at timestamp, value double, reason string"
-    return chunked.groupBy("chunk").cogroup(wanted.groupBy("for_chunk")).applyInPandas(judge, schema)
+        ids = t[SERIES]
+        c["series"] = np.cumsum((ids != ids.shift()).any(axis=1).to_numpy())
+        code, unsure = flag(c, limits, rounds, (bool(c["position"][0] > 0), bool(c["position"][-1] < total - 1)))
+        own = c["own"] == key[0]
+        keep = (code > 0) & own & c["eligible"].astype(bool)
+        got = {n: c[n][keep] for n in (*SERIES, "row_id", "at", "value")}
+        out = pd.DataFrame(got | {"reason": NAMES[code[keep]]})
+        if (unsure & own).any():
+            again = {n: c[n][:1] for n in (*SERIES, "row_id", "at", "value")}
+            out = pd.concat([out, pd.DataFrame(again | {"reason": np.array([OPEN], object)})], ignore_index=True)
+        return out
+
+    return judge
 
 
 FPS = Limits("rate", 0.0, False, 240.0)
