@@ -96,17 +96,30 @@ def test_mixture(spark):
 
 def test_scarce_source_does_not_hold_the_total(spark):
     docs = _documents(spark)
-    wanted = [mixing.Target("big", 0.5, 1), mixing.Target("mid", 0.3, 2), mixing.Target("other", 0.2, 2)]
-    m = mixing.mix(docs, wanted, Scratch(spark))
+    wanted = [mixing.Target("big", 0.6, 1), mixing.Target("mid", 0.395, 4), mixing.Target("other", 0.005, 1)]
+    m = mixing.mix(docs, wanted, Scratch(spark), total_tokens=1_000_000)
     report = {r.source: r for r in m.report.collect()}
     other, mid, big = (report[s] for s in ("other", "mid", "big"))
-    assert other.n_tokens == 2 * other.available_tokens  # up to its repeats, not a block less
-    assert 0 <= 2 * mid.available_tokens - mid.n_tokens < 2 * mixing.BLOCK
-    assert abs(big.n_tokens / mid.n_tokens - 5 / 3) < 0.01  # what they take over keeps their proportion
-    assert abs(other.shortfall - (0.2 - other.share)) < 1e-12 and other.shortfall > 0.15 and big.shortfall == mid.shortfall == 0
-    assert abs(other.supplied_share - 0.2) < 1e-12 and abs(other.share - other.feasible_share) < 0.001
+    other_tokens = other.available_tokens
+    assert mid.n_tokens + big.n_tokens + other.n_tokens > 999_000 and 0 < other.n_tokens <= other_tokens
+    wanted = [mixing.Target("big", 0.6, 1), mixing.Target("mid", 0.35, 4), mixing.Target("other", 0.05, 1)]
+    m = mixing.mix(docs, wanted, Scratch(spark), total_tokens=1_000_000)
+    report = {r.source: r for r in m.report.collect()}
+    other, mid, big = (report[s] for s in ("other", "mid", "big"))
+    assert other.n_tokens == other.available_tokens  # up to its repeats, not a block less
+    assert abs((big.share - 0.6) - (mid.share - 0.35)) < 0.001 and big.share > 0.6  # what it leaves is spread evenly
+    assert abs(other.shortfall - (0.05 - other.share)) < 1e-12 and other.shortfall > 0.01 and big.shortfall == mid.shortfall == 0
     every = m.drawn.where("source = 'other'").groupBy("block", "doc_id", "token_start").agg(F.count_distinct("pass").alias("n")).collect()
-    assert {r.n for r in every} == {2}
+    assert {r.n for r in every} == {1}
+
+
+def test_total_is_the_largest_within_the_tolerance(spark):
+    docs = _documents(spark)
+    wanted = [mixing.Target("big", 0.6, 1), mixing.Target("mid", 0.35, 4), mixing.Target("other", 0.05, 1)]
+    for tolerance in (0.005, 0.02):
+        report = {r.source: r for r in mixing.mix(docs, wanted, Scratch(spark), tolerance=tolerance).report.collect()}
+        over = [report[s].share - report[s].target_share for s in ("big", "mid")]
+        assert max(over) < tolerance + 0.001 and min(over) > tolerance - 0.001 and report["other"].n_tokens == report["other"].available_tokens
 
 
 def test_no_slot_is_lost(spark):
@@ -119,12 +132,16 @@ def test_no_slot_is_lost(spark):
 
 
 def test_slots_by_source():
-    share, most, full = {"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 602, "b": 900, "c": 7}, {"a": 600, "b": 899, "c": 6}
-    assert mixing.slots_by_source(share, most, full) == {"a": 600, "b": 300, "c": 7}
-    assert mixing.slots_by_source(share, most, full, 50) == {"a": 30, "b": 15, "c": 5}
-    assert mixing.slots_by_source(share, most, full, 97) == {"a": 60, "b": 30, "c": 7}
-    assert mixing.slots_by_source(share, most, full, 9_999) == most
-    assert mixing.slots_by_source({}, {}, {}) == {}
+    share, most = {"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 6000, "b": 9000, "c": 7}
+    assert mixing.slots_by_source(share, most, 50) == {"a": 30, "b": 15, "c": 5}
+    assert mixing.slots_by_source(share, most, 97) == {"a": 59, "b": 31, "c": 7} or mixing.slots_by_source(share, most, 97) == {"a": 60, "b": 30, "c": 7}
+    assert mixing.slots_by_source(share, most, 1_000) == {"a": 647, "b": 346, "c": 7} or mixing.slots_by_source(share, most, 1_000) == {"a": 646, "b": 347, "c": 7}
+    assert mixing.slots_by_source(share, most, 99_999) == most
+    best = mixing.slots_by_source(share, most, tolerance=0.01)
+    total = sum(best.values())
+    assert best["c"] == 7 and all(best[s] <= (share[s] + 0.01) * total + 1 for s in share) and total == int(7 / (0.1 - 0.02))
+    assert mixing.slots_by_source({"a": 0.5}, {"a": 10}) == {"a": 10}  # the rest has no source at all
+    assert mixing.slots_by_source({}, {}) == {}
 
 
 def test_total_and_empty(spark):

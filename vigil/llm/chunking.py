@@ -129,14 +129,13 @@ class _Text:
                 todo += [(k, j), (i, k)]
         return done
 
-    def lead(self, i: int, j: int, overlap: int, limit: int) -> int:
-        """Where the piece with the core i..j begins: at least ``overlap`` tokens before it, fewer if the limit says so."""
+    def lead(self, i: int, overlap: int) -> int:
+        """Where a piece begins whose core begins at ``i``: at the last unit from which at least ``overlap`` tokens lead there."""
         if not i or not overlap:
             return i
-        u = int(np.searchsorted(self.upto[: i + 1], self.upto[i] - overlap, side="right")) - 1
-        u = max(u, 0)
-        while u < i and self.size(u, j) > limit:
-            u += 1
+        u = max(int(np.searchsorted(self.upto[: i + 1], self.upto[i] - overlap, side="right")) - 1, 0)
+        while u and self.size(u, i) < overlap:
+            u -= 1
         return u
 
 
@@ -230,25 +229,24 @@ class Cutter:
     def checked(self, text: str, units: _Text, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """(start, core start, end, tokens, overlapping tokens) of the pieces of a text over the limit.
 
-        Pieces that begin or end inside a long word are counted anew and cut once more if they came out too long.
+        A core that leaves no room for the overlap is cut once more.  Pieces that begin or end inside a long word are counted
+        anew.  Only where a core of one unit and the overlap exceed the limit together is the overlap shorter.
         """
         out, todo = [], list(reversed(units.cores(limit - overlap)))
         while todo:
             i, j = todo.pop()
-            u = units.lead(i, j, overlap, limit)
-            s, c, e = int(units.at[u]), int(units.at[i]), int(units.at[j])
-            size = units.size(u, j)
-            if units.soft[u] or units.soft[j]:
-                size = len(self.counter.encode(text[s:e]))
-                while size > limit and u < i:
-                    u += 1
-                    s = int(units.at[u])
-                    size = len(self.counter.encode(text[s:e]))
-                if size > limit and j - i > 1:
-                    k = units.cut(i, j)
-                    todo += [(k, j), (i, k)]
-                    continue
-            out.append((s, c, e, size, int(units.upto[i] - units.upto[u])))
+            u = units.lead(i, overlap)
+            c, e = int(units.at[i]), int(units.at[j])
+            exact = lambda: len(self.counter.encode(text[int(units.at[u]) : e])) if units.soft[u] or units.soft[j] else units.size(u, j)  # noqa: E731, B023
+            size = exact()
+            if size > limit and j - i > 1:
+                k = units.cut(i, j)
+                todo += [(k, j), (i, k)]
+                continue
+            while size > limit and u < i:
+                u += 1
+                size = exact()
+            out.append((int(units.at[u]), c, e, size, units.size(u, i) if u < i else 0))
         return out
 
 

@@ -25,7 +25,7 @@ from vigil.session import Scratch
 
 BLOCK = 128
 SHARD = 256  # slots of an output shard
-HALF = 0.5  # of the shares must be served in full
+TOLERANCE = 0.01  # of all slots that a source may have over its share because others can't serve theirs
 
 
 @dataclass(frozen=True)
@@ -68,32 +68,45 @@ def permuted(index: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def slots_by_source(share: dict[str, float], most: dict[str, int], full: dict[str, int], wanted: int | None = None) -> dict[str, int]:
-    """Slots of each source, in proportion to ``share`` except that none gets more than ``most`` of it.
+def _served(share: dict[str, float], most: dict[str, int], over: float, slots: float) -> dict[str, float]:
+    """Slots that sources take of ``slots`` if each may have ``over`` more than its share, as far as it can serve them."""
+    return {s: max(0.0, min(most[s], (w + over) * slots)) for s, w in share.items()}
 
-    The proportion is carried as far as a source can serve it in ``full`` slots without which the sources that fall short would
-    have HALF of the shares, or, if ``wanted`` slots are asked for, until these or all that the sources can serve are given.
+
+def slots_by_source(share: dict[str, float], most: dict[str, int], wanted: int | None = None, tolerance: float = TOLERANCE) -> dict[str, int]:
+    """Slots of each source: its share of all slots plus one and the same excess, but no more than ``most``.
+
+    What scarce and missing sources leave of their shares (``share`` may sum to less than 1) is spread evenly over the others, which keeps
+    the largest excess over a share as small as it can be.  The total is ``wanted``, as far as the sources can serve it, or the
+    largest for which the excess is at most ``tolerance``, on top of what missing sources alone make it.
     """
-    order = sorted(share, key=lambda s: (most[s] / share[s], s))
-    if not order:
+    if not share:
         return {}
+    missing = max(0.0, 1 - sum(share.values())) / len(share)
+    allowed = tolerance if missing < tolerance else missing + tolerance
     if wanted is None:
-        upto = np.cumsum([share[s] for s in order])
-        last = order[int(np.argmax(upto >= HALF - 1e-9))]
-        total = math.floor(sum(min(most[s], full[last] / share[last] * share[s]) for s in order) + 1e-6)
+        low, high = 0, sum(most.values())
+        while low < high:  # the share that can be served falls as the total grows
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(_served(share, most, allowed, middle).values()) >= middle - 1e-6 else (low, middle - 1)
+        total = low
     else:
         total = min(wanted, sum(most.values()))
-    slots, left = {}, total
-    for i, s in enumerate(order):
-        if most[s] / share[s] * sum(share[r] for r in order[i:]) > left:
-            break
-        slots[s] = most[s]
-        left -= most[s]
-    rest = order[len(slots):]
-    exact = {s: left * share[s] / sum(share[r] for r in rest) for s in rest}
-    slots |= {s: math.floor(x) for s, x in exact.items()}
-    for s in sorted(rest, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: total - sum(slots.values())]:
-        slots[s] += 1
+    if total <= 0:
+        return {s: 0 for s in share}
+    less, more = -1.0, 1.0
+    for _ in range(100):
+        over = (less + more) / 2
+        less, more = (over, more) if sum(_served(share, most, over, total).values()) < total else (less, over)
+    exact = _served(share, most, more, total)
+    slots = {s: math.floor(x + 1e-9) for s, x in exact.items()}
+    order = sorted(share, key=lambda s: (slots[s] - exact[s], s))
+    while sum(slots.values()) < total:
+        for s in order:
+            if sum(slots.values()) < total and slots[s] < most[s]:
+                slots[s] += 1
+    while sum(slots.values()) > total:
+        slots[max(slots, key=lambda s: (slots[s] - exact[s], s))] -= 1
     return slots
 
 
@@ -117,12 +130,13 @@ class Mixture:
     report: DataFrame
 
 
-def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens: int | None = None, seed: int = 0) -> Mixture:
+def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens: int | None = None, seed: int = 0, tolerance: float = TOLERANCE) -> Mixture:
     """Draw from documents (doc_id, source, n_tokens), one row a document, toward the shares ``wanted``.
 
-    Shares of sources without tokens or repeats are spread over the others in proportion (``supplied_share``).  The total
-    is ``total_tokens``, or what ``slots_by_source`` finds.  A source that can't serve its share of that is used up to its repeats, and
-    the others take its slots in proportion (``feasible_share``).  Documents of sources without target, and empty ones, are not drawn.
+    The total is ``total_tokens``, or the largest for which no source gets more than ``tolerance`` over its target because others can't
+    serve theirs.  A source that can't serve its share is used up to its repeats; what it leaves, and shares of sources without
+    tokens or repeats, are spread evenly over the others (``feasible_share``).  Documents of sources without target, and empty ones,
+    are not drawn.
     """
     spark = sizes.sparkSession
     names = [t.source for t in wanted]
@@ -142,11 +156,10 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
         held[source] = held.get(source, 0) + n
     blocks = {s: -(-n // BLOCK) for s, n in held.items()}
     usable = [t for t in wanted if held.get(t.source) and t.repeats > 0]
-    whole = sum(t.share for t in usable)
+    whole = sum(t.share for t in wanted)
     share = {t.source: t.share / whole for t in usable}
     repeats = {t.source: t.repeats for t in usable}
-    full = {s: max(1, held[s] * repeats[s] // BLOCK) for s in share}
-    due = slots_by_source(share, {s: blocks[s] * repeats[s] for s in share}, full, None if total_tokens is None else -(-total_tokens // BLOCK))
+    due = slots_by_source(share, {s: blocks[s] * repeats[s] for s in share}, None if total_tokens is None else -(-total_tokens // BLOCK), tolerance)
     slots = sum(due.values())
     picked = sorted(share)
     weights = np.array([due[s] / max(1, slots) for s in picked])
@@ -223,13 +236,13 @@ def mix(sizes: DataFrame, wanted: list[Target], scratch: Scratch, total_tokens:
     # slots come out of few rows of draws, which the planner would take for a small side
     drawn = scratch.save(chosen.join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "token_start", "token_end"))
     moved = {s: -int(more[k]) for k, s in enumerate(picked)}  # slots redrawn to the source, below 0: away from it
-    goal = F.broadcast(spark.createDataFrame([(t.source, t.share, share.get(t.source, 0.0), due.get(t.source, 0) / max(1, slots), t.repeats, held.get(t.source, 0), moved.get(t.source, 0)) for t in wanted], "source string, target_share double, supplied_share double, feasible_share double, max_repeats int, available_tokens long, slots_moved long"))
+    goal = F.broadcast(spark.createDataFrame([(t.source, t.share, due.get(t.source, 0) / max(1, slots), t.repeats, held.get(t.source, 0), moved.get(t.source, 0)) for t in wanted], "source string, target_share double, feasible_share double, max_repeats int, available_tokens long, slots_moved long"))
     used = drawn.groupBy("source").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("_n"), F.max("pass").alias("_p"))
     total = F.broadcast(used.agg(F.sum("_n").alias("_all")))
     n = F.coalesce("_n", F.lit(0))
     reached = F.coalesce(n / F.col("_all"), F.lit(0.0))
     report = goal.join(used, "source", "left").crossJoin(total).select(
-        "source", "target_share", "supplied_share", "feasible_share", "max_repeats", "available_tokens", n.alias("n_tokens"), reached.alias("share"),
+        "source", "target_share", "feasible_share", "max_repeats", "available_tokens", n.alias("n_tokens"), reached.alias("share"),
         F.greatest(F.col("target_share") - reached, F.lit(0.0)).alias("shortfall"), (F.coalesce("_p", F.lit(-1)) + 1).cast("int").alias("repeats"), "slots_moved"
     )
     return Mixture(drawn, report)

@@ -49,22 +49,24 @@ def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) ->
     return float(value[capacity]), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(items of each size, how many containers) that hold exactly ``demand`` items of ``sizes`` in few containers.
 
-    The linear relaxation is solved by column generation; whole parts are kept and the rest is filled first-fit
-    decreasing.
+    The linear relaxation is solved by column generation until the best configuration left out could no longer save half a
+    container: a configuration worth v bounds the optimum by 1 / v of what is reached.  Demands are raised by different tiny amounts on
+    the way, so that no step stands still.  Whole parts are kept and the rest is filled first-fit decreasing.
     """
     if not sizes:
         return []
     s, d = np.array(sizes, np.int64), np.array(demand, float)
     basis = np.diag((capacity // s).astype(float))
-    for _ in range(rounds):
+    raised = d + 1e-7 * (1 + np.arange(len(d)))
+    while True:
         worth = np.linalg.solve(basis.T, np.ones(len(s)))
         value, column = _best_configuration(s, worth, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 1e-7 or (worth @ d) * (1 - 1 / value) < 0.5:
             break
-        x, w = np.linalg.solve(basis, d), np.linalg.solve(basis, column.astype(float))
+        x, w = np.linalg.solve(basis, raised), np.linalg.solve(basis, column.astype(float))
         ratio = np.where(w > 1e-9, x / np.where(w > 1e-9, w, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
     x = np.maximum(np.linalg.solve(basis, d), 0)

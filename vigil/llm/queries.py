@@ -41,6 +41,17 @@ def p3_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign(rows, _shares(spark, folder), scratch).select(F.col("row_id").alias("crop_id"), "source_group", "source_clip", "component", "split")
 
 
+def p3_components(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of each crop, named by its smallest key."""
+    return splits.crops(table(spark, folder, "person_crops"), Scratch(spark)).where("component not like 'row:%'").select(F.col("row_id").alias("crop_id"), "component")
+
+
+def p3_kept_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Crops and components of the assignment, and components that it divides or leaves without split."""
+    parts = p3_assignment(spark, folder).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("a"), F.max("split").alias("z"))
+    return parts.agg(F.sum("n").alias("n_crops"), F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("a").isNull() | (F.col("a") != F.col("z"))).alias("n_divided"))
+
+
 def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Shares reached by the assignment against their targets."""
     scratch = Scratch(spark)
@@ -103,6 +114,19 @@ def p7_fill_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(_packed(spark, folder))
 
 
+def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """For each fill limit and document: whether its parts in the containers are all of it, each token once, and these within the limit."""
+    scratch = Scratch(spark)
+    packed = scratch.save(_packed(spark, folder))
+    held = packed.where("container_id is not null").groupBy("limit_tokens", "container_id").agg((F.sum("n_tokens") <= F.col("limit_tokens")).alias("fits"))
+    parts = packed.join(held, ["limit_tokens", "container_id"], "left").groupBy("limit_tokens", "doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("k"), F.bool_and(F.coalesce("fits", F.lit(True))).alias("fits")
+    )
+    sizes = _sizes(spark, folder, scratch).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("size"))
+    once_each = (F.col("n") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("limit_tokens"))))
+    return parts.join(sizes, "doc_id", "full").select("limit_tokens", "doc_id", F.coalesce(once_each, F.lit(False)).alias("whole"), "fits")
+
+
 def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
     scratch = Scratch(spark)
     return mixing.mix(_sizes(spark, folder, scratch), mixing.targets(table(spark, folder, "mix_targets")), scratch)
@@ -123,6 +147,35 @@ def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).drawn
 
 
+def p8_kept_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target: documents drawn more often than allowed, blocks drawn twice in a pass, and slots filled twice."""
+    scratch = Scratch(spark)
+    wanted = mixing.targets(table(spark, folder, "mix_targets"))
+    drawn = mixing.mix(_sizes(spark, folder, scratch), wanted, scratch).drawn
+    goal = F.broadcast(spark.createDataFrame([(t.source, t.repeats) for t in wanted], "source string, max_repeats int"))  # a table of fixed size
+    often = mixing.by_document(drawn).join(goal, "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("n_over"))
+    slots = drawn.select("source", "shard", "slot", "pass", "block").distinct()
+    twice = lambda keys, name: slots.groupBy("source", *keys).agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.count_if(F.col("n") > 1).alias(name))
+    out = goal.join(often, "source", "left").join(twice(["pass", "block"], "n_twice"), "source", "left").join(twice(["shard", "slot"], "n_shared"), "source", "left")
+    return out.select("source", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_over", "n_twice", "n_shared")])
+
+
+def p9_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """For each cut limit and document: the text that its pieces' cores make, and whether pieces keep to the limit and the overlap."""
+    scratch = Scratch(spark)
+    documents = scratch.save(once(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", scratch))
+    limits = _limits(spark, folder, "cut")
+    pieces = chunking.split_oversized(documents, "doc_id", "text", limits)
+    asked = F.element_at(F.create_map(*[F.lit(x) for pair in limits for x in pair]), F.col("limit_tokens"))
+    core = F.struct("piece_no", F.substring(F.col("text"), (F.col("core_start") - F.col("char_start") + 1).cast("int"), F.length("text")).alias("core"))
+    made = pieces.groupBy("limit_tokens", "doc_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(core)), lambda x: x["core"]), "").alias("made"),
+        F.bool_and(F.col("n_tokens") <= F.col("limit_tokens")).alias("fits"), F.bool_and((F.col("piece_no") == 0) | (F.col("overlap_tokens") >= asked)).alias("laps"),
+    )
+    every = documents.select("doc_id", "text", F.explode(F.array(*[F.lit(a) for a, _ in limits])).alias("limit_tokens"))
+    return every.join(made, ["limit_tokens", "doc_id"], "left").select("limit_tokens", "doc_id", F.coalesce("made", "text").alias("text"), F.coalesce("fits", F.lit(True)).alias("fits"), F.coalesce("laps", F.lit(True)).alias("laps"))
+
+
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the texts above each cut limit."""
     documents = once(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", Scratch(spark))
@@ -131,8 +184,8 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_round_report, p3_found, p3_assignment, p3_shares, p4_found, p4_overlap_report, p6_found,
-    p7_containers, p7_fill_report, p8_documents, p8_shares, p8_blocks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_round_report, p3_found, p3_assignment, p3_components, p3_kept_whole, p3_shares, p4_found, p4_overlap_report, p6_found,
+    p7_containers, p7_fill_report, p7_whole, p8_documents, p8_shares, p8_blocks, p8_kept_limits, p9_pieces, p9_rebuilt)}
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _LOW = f"nullif(lower({_STRIP}), '')"
@@ -174,6 +227,20 @@ with recursive e as (
 reach(a, b) as (select a, a from e union select r.a, e.b from reach r join e on e.a = r.b)
 select a image_id, min(b) group_image_id from reach group by 1""",
 }
+_COMPONENTS = f"""
+with recursive c as (
+  select crop_id, '0:' || {_LOW.format('source_group')} g, '1:' || regexp_replace({_LOW.format('source_clip')}, '\\.[a-z0-9]{{1,5}}$', '') k
+  from person_crops where crop_id is not null qualify row_number() over (partition by crop_id order by g nulls first, k nulls first) = 1),
+e as (select g a, k b from c where g is not null and k is not null union select k, g from c where g is not null and k is not null),
+reach(a, b) as (select a, a from (select a from e union select g from c where g is not null union select k from c where k is not null) union select r.a, e.b from reach r join e on e.a = r.b),
+named as (select a node, min(b) component from reach group by 1),
+placed as (select crop_id, component from c left join named on node = coalesce(g, k))"""
+SQL["p3_components"] = f"{_COMPONENTS} select crop_id, component from placed where component is not null"
+SQL["p3_kept_whole"] = f"{_COMPONENTS} select count(*) n_crops, count(distinct component) + count(*) filter (where component is null) n_components, 0::bigint n_divided from placed"
+SQL["p7_whole"] = "select limit_tokens, doc_id, true whole, true fits from (select distinct doc_id from documents where doc_id is not null), (select distinct limit_tokens from size_limits where lower(trim(purpose)) = 'fill')"
+SQL["p8_kept_limits"] = "select source, max_repeats, 0::bigint n_over, 0::bigint n_twice, 0::bigint n_shared from mix_targets where target_share > 0"
+SQL["p9_rebuilt"] = """select limit_tokens, doc_id, text, true fits, true laps from (select doc_id, min(text) text from documents where doc_id is not null group by 1),
+(select distinct limit_tokens from size_limits where lower(trim(purpose)) = 'cut')"""
 SQL["p1_round_report"] = f"""with f as ({SQL['p1_found']}), k as (select record_id, min(selection_round) selection_round from validation_records group by 1)
 select selection_round, count(*) n_held from f join k using (record_id) group by 1"""
 SQL["p4_overlap_report"] = f"""
