@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import datasets, problems, records, rules, stream
+from vigil.plans import datasets, problems, records, rules, sources, stream
 
-MODULES = [rules, records, datasets, stream, problems]
+MODULES = [rules, records, datasets, sources, stream, problems]
 
 
 def queries() -> dict:

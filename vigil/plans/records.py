@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vigil.functions.text import instant
 from vigil.operators import adapters as A
 from vigil.operators import records as R
-from vigil.session import table
+from vigil.session import Scratch, table
 
 NOW = "2021-02-15T00:00:00+00:00"
 STALE_SECONDS = 30.0
@@ -87,7 +87,7 @@ def frame_accounting(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_failure_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of at least two failed reads of a camera."""
-    return R.failure_runs(A.event_frames(spark, folder).select("camera_id", "event_id", "event_type"), ["camera_id"], "event_id", F.col("event_type") == "error", 2)
+    return R.failure_runs(A.event_frames(spark, folder).select("camera_id", "event_id", "event_type"), ["camera_id"], "event_id", F.col("event_type") == "error", 2, Scratch(spark))
 
 
 def resolution_changes(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,6 +48,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 class Scratch:
     """Scratch tables of one computation; ``drop`` frees those that nothing reads any more."""
 
