@@ -31,7 +31,7 @@ EVENT = (
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV manifest with a header."""
-    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_manifest(df: DataFrame, path: str, schema: str) -> None:
@@ -39,7 +39,7 @@ def write_manifest(df: DataFrame, path: str, schema: str) -> None:
     columns = [c.split()[0] for c in schema.split(", ")]
     if "split" in columns:
         df = df.withColumn("split", F.coalesce("split", F.lit("train")))
-    df.select(*columns).write.mode("errorifexists").csv(path, header=True)
+    df.select(*columns).write.mode("errorifexists").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
