@@ -12,8 +12,9 @@ EVENTS = "event_id string, status string, ingested_at timestamp, ref_key int"
 def _run(spark, audit, events):
     refs = R.references(spark.createDataFrame(audit, AUDIT), "audit_log", "audit_id", "event_id", "ingested_at")
     alive = R.living(spark.createDataFrame(events, EVENTS), "event_id", "status", "ingested_at")
-    orphans = R.orphan_keys(refs, alive)
-    return refs, orphans, {r.ref_id for r in R.orphan_rows(refs, orphans).collect()}
+    total = refs.count()
+    orphans = R.orphan_keys(refs, alive, total)
+    return refs, orphans, {r.ref_id for r in R.orphan_rows(refs, orphans, total).collect()}
 
 
 def test_cases(spark):
@@ -38,6 +39,7 @@ def test_hot_keys_take_the_broadcast_path(spark):
     refs = R.references(spark.createDataFrame(audit, AUDIT), "audit_log", "audit_id", "event_id", "ingested_at")
     alive = R.living(spark.createDataFrame([("k3", None, None, 0)], EVENTS), "event_id", "status", "ingested_at")
     hot = spark.createDataFrame([("hot",)], "ref_key string")
-    parts = {(r.ref_key, r.ref_period, r.n_refs) for r in R.orphan_keys(refs, alive, hot).collect()}
-    assert parts == {(r.ref_key, r.ref_period, r.n_refs) for r in R.orphan_keys(refs, alive).collect()}
+    parts = {(r.ref_key, r.ref_period, r.n_refs) for r in R.orphan_keys(refs, alive, 3000, hot).collect()}
+    for total in (3000, 10**9):  # every key heavy, none
+        assert parts == {(r.ref_key, r.ref_period, r.n_refs) for r in R.orphan_keys(refs, alive, total).collect()}
     assert ("hot", "2021-01", 2000) in parts and not any(k == "k3" for k, _, _ in parts)

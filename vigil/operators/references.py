@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.text import canonical_id, strip
 from vigil.operators.skew import hot_keys, skew_join
 
+HEAVY = 1 / 10_000  # share of all references from which on a key is heavy
+
 
 def references(df: DataFrame, table: str, row_id: str, key: str, arrived: str, period: str = "yyyy-MM") -> DataFrame:
     """(ref_table, ref_id, ref_key, ref_period) of a table's references, one row a row id.
@@ -40,19 +44,24 @@ def living(records: DataFrame, key: str, status: str | None = None, newest: str
     return rows.groupBy("ref_key").agg(F.max(F.struct("_at", "_lives")).alias("r")).where("r._lives").select("ref_key")
 
 
-def orphan_keys(refs: DataFrame, alive: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """(ref_table, ref_key, ref_period, n_refs) of references whose key is not among ``alive``.
+def heavy(total: int) -> int:
+    """The least references of a heavy key: HEAVY of all of them."""
+    return max(2, math.ceil(total * HEAVY))
+
+
+def orphan_keys(refs: DataFrame, alive: DataFrame, total: int, hot: DataFrame | None = None) -> DataFrame:
+    """(ref_table, ref_key, ref_period, n_refs) of references whose key is not among ``alive``; ``total`` is the number of references.
 
     References are counted per key and period first, so a hot key shrinks to one row a period before anything
-    moves.  The most frequent keys (at most ``skew.MOST_HOT``) are checked by broadcasts, the others by a shuffled
+    moves.  The heavy keys (at most ``skew.MOST_HOT``) are checked by broadcasts, the others by a shuffled
     anti-join; both give counts of orphans, which are put together.
     """
     counts = refs.groupBy("ref_table", "ref_key", "ref_period").agg(F.count(F.lit(1)).alias("n_refs"))
-    hot = F.broadcast(hot_keys(counts, "ref_key", rows="n_refs") if hot is None else hot)
+    hot = F.broadcast(hot_keys(counts, "ref_key", rows="n_refs", at_least=heavy(total)) if hot is None else hot)
     found = F.broadcast(alive.join(hot, "ref_key", "left_semi"))
-    heavy = counts.join(hot, "ref_key", "left_semi").join(found, "ref_key", "left_anti")
+    weighty = counts.join(hot, "ref_key", "left_semi").join(found, "ref_key", "left_anti")
     light = counts.join(hot, "ref_key", "left_anti").join(alive, "ref_key", "left_anti")
-    return heavy.unionByName(light)
+    return weighty.unionByName(light)
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
@@ -64,7 +73,7 @@ def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
     )
 
 
-def orphan_rows(refs: DataFrame, orphans: DataFrame) -> DataFrame:
+def orphan_rows(refs: DataFrame, orphans: DataFrame, total: int) -> DataFrame:
     """(ref_table, ref_id) of the references behind ``orphans``; hot keys by broadcast, the rest shuffled."""
     keys = orphans.select("ref_key").distinct()
-    return skew_join(refs, keys, "ref_key", "left_semi", hot_keys(orphans, "ref_key", rows="n_refs")).select("ref_table", "ref_id")
+    return skew_join(refs, keys, "ref_key", "left_semi", hot_keys(orphans, "ref_key", rows="n_refs", at_least=heavy(total))).select("ref_table", "ref_id")

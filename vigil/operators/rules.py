@@ -7,9 +7,9 @@ depends on earlier anchors, is a fold; it runs over sorted rows in constant memo
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -123,23 +123,52 @@ MOVEMENT = "camera_id string, session_id string, track_id long, timestamp_second
 def low_movement(rows: DataFrame, no_movement: float, ratio: float, least_pixels: float, ttl: float) -> DataFrame:
     """ERG-006: seconds since a track last moved by more than its threshold, and one event an episode.
 
-    Rows of a track lie in one partition in order of time; the fold holds one anchor and never a whole track.
+    Rows of a track lie in one partition in order of time; the fold holds one anchor and never a whole track, and goes from anchor
+    to anchor over arrays.
     """
 
+    def leaves(x: np.ndarray, y: np.ndarray, h: np.ndarray, i: int, end: int, anchor: tuple[float, float, float]) -> int:
+        """The first row from ``i`` on, before ``end``, that is further from the anchor than its threshold; ``end`` if none is."""
+        ax, ay, ah = anchor
+        width = 64
+        while i < end:
+            z = min(end, i + width)
+            far = np.hypot(x[i:z] - ax, y[i:z] - ay) > np.maximum(least_pixels, ratio * np.maximum(ah, h[i:z]))
+            if far.any():
+                return i + int(far.argmax())
+            i, width = z, 2 * width
+        return end
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ax, ay, ah, since, seen, done = None, 0.0, 0.0, 0.0, 0.0, 0.0, False
+        key, anchor, since, seen, done = None, (0.0, 0.0, 0.0), 0.0, 0.0, False
         for pdf in batches:
-            elapsed, events = [], []
-            for c, s, k, t, x, y, h in zip(pdf.camera_id, pdf.session_id, pdf.track_id, pdf.timestamp_seconds, pdf.x, pdf.y, pdf.height):
-                if (c, s, k) != key or t - seen > ttl:
-                    key, ax, ay, ah, since, done = (c, s, k), x, y, h, t, False
-                elif math.hypot(x - ax, y - ay) > max(least_pixels, ratio * max(ah, h)):
-                    ax, ay, ah, since, done = x, y, h, t, False
-                seen = t
-                due = not done and t - since + EPS >= no_movement
-                done = done or due
-                elapsed.append(t - since)
-                events.append(due)
+            n = len(pdf)
+            if not n:
+                continue
+            t, x, y, h = (pdf[c].to_numpy(float) for c in ("timestamp_seconds", "x", "y", "height"))
+            names = [pdf[c].to_numpy() for c in TRACK]
+            fresh = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in names]) | (np.diff(t) > ttl)]
+            if tuple(c[0] for c in names) == key and not t[0] - seen > ttl:
+                fresh[0] = False
+            elapsed, events = np.zeros(n), np.zeros(n, bool)
+            starts = np.flatnonzero(fresh).tolist()
+            # from anchor to anchor: rows between two anchors are judged together
+            for a, z in zip(starts if fresh[0] else [0, *starts], [*(starts[1:] if fresh[0] else starts), n]):
+                i = a
+                while i < z:
+                    if i > a or fresh[a]:
+                        anchor, since, done = (x[i], y[i], h[i]), t[i], False
+                    j = leaves(x, y, h, i + 1 if i > a or fresh[a] else i, z, anchor)
+                    if j == i:  # the first row of a batch leaves the anchor of the batch before
+                        anchor, since, done = (x[i], y[i], h[i]), t[i], False
+                        j = leaves(x, y, h, i + 1, z, anchor)
+                    elapsed[i:j] = t[i:j] - since
+                    if not done:
+                        due = elapsed[i:j] + EPS >= no_movement
+                        if due.any():
+                            events[i + int(due.argmax())] = done = True
+                    i = j
+            key, seen = tuple(c[-1] for c in names), t[-1]
             yield pdf[["camera_id", "session_id", "track_id", "timestamp_seconds", "frame_number", "zone_id"]].assign(elapsed=elapsed, is_event=events)
 
     return rows.repartition(*TRACK).sortWithinPartitions(*TRACK, *ORDER).mapInPandas(fold, MOVEMENT)

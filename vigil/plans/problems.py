@@ -10,14 +10,15 @@ from vigil.operators import spikes as S
 from vigil.session import Scratch, table
 
 
-def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
     audit, evidence, events = (table(spark, folder, t) for t in ("audit_log", "evidence_artifacts", "safety_events"))
     refs = R.references(audit, "audit_log", "audit_id", "event_id", "ingested_at").unionByName(
         R.references(evidence, "evidence_artifacts", "evidence_id", "event_id", "saved_at")
     )
     scratch = Scratch(spark)
     refs, alive = scratch.save(refs), scratch.save(R.living(events, "event_id", "status", "ingested_at"))
-    return refs, scratch.save(R.orphan_keys(refs, alive))
+    total = scratch.count(refs)
+    return refs, scratch.save(R.orphan_keys(refs, alive, total)), total
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +28,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_orphan_report(spark: SparkSession, folder: str) -> DataFrame:
     """References and orphans per table and month of arrival."""
-    return R.orphan_report(*_references(spark, folder))
+    return R.orphan_report(*_references(spark, folder)[:2])
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:

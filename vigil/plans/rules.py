@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vigil.functions import geometry as G
 from vigil.operators import adapters as A
 from vigil.operators import rules as R
+from vigil.session import Scratch
 
 EXC_CONFIRM, EXC_RESET = 21_600.0, 43_200.0
 ERG = dict(no_movement=172_800.0, ratio=0.10, least_pixels=5.0, ttl=604_800.0)
@@ -126,7 +127,7 @@ def erg_006_elapsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    states, zones = _states(spark, folder), A.zones(spark)
+    states, zones = Scratch(spark).save(_states(spark, folder)), A.zones(spark)  # three rules read them
     lone = R.lone_person_events(R.lone_person(R.occupancy(states, A.frames(spark, folder), zones), EXC_CONFIRM, EXC_RESET))
     return R.safety_events(R.restricted_entries(states), lone, R.low_movement_events(R.low_movement(R.eligible(states), **ERG)), zones)
 
@@ -161,14 +162,22 @@ def evidence_frame_range_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recent_label_banner(spark: SparkSession, folder: str) -> DataFrame:
-    """The last three entries of the camera within a day before each frame with an entry."""
-    e = bar_001_restricted_entry(spark, folder)
-    w = W.partitionBy(*R.SESSION).orderBy("timestamp_seconds").rangeBetween(-86_400, 0)
-    label = F.struct("frame_number", "track_id", "zone_id")
-    recent = F.sort_array(F.collect_list(label).over(w))
-    last = F.slice(recent, F.greatest(F.size(recent) - 2, F.lit(1)), 3)
-    text = F.array_join(F.transform(last, lambda s: F.concat(s["zone_id"], F.lit(":"), s["track_id"].cast("string"))), ",")
-    return e.select(*R.SESSION, "frame_number", text.alias("banner")).distinct()
+    """For every frame the last three entries of its camera within a day, also where the frame itself has none.
+
+    Each entry carries the two before it, and a frame takes the last entry up to it, so that no window holds a list.
+    """
+    frames = A.frames(spark, folder).select(*R.SESSION, "timestamp_seconds", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("track_id"), F.lit(None).cast("string").alias("zone_id"), "frame_number")
+    entries = bar_001_restricted_entry(spark, folder).select(*R.SESSION, "timestamp_seconds", F.lit(0).alias("kind"), "track_id", "zone_id", "frame_number")
+    w = W.partitionBy(*R.SESSION).orderBy("timestamp_seconds", "kind", "frame_number", "track_id", "zone_id")
+    label = F.when(F.col("kind") == 0, F.struct(F.col("timestamp_seconds").alias("t"), F.concat("zone_id", F.lit(":"), F.col("track_id").cast("string")).alias("text")))
+    rows = entries.unionByName(frames).withColumn("e0", label)
+    last = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("e1", F.when(F.col("kind") == 0, last("e0")))
+    rows = rows.withColumn("e2", F.when(F.col("kind") == 0, last(F.when(F.col("kind") == 0, F.struct(F.col("e1").alias("e"))))["e"]))
+    held = F.last(F.when(F.col("kind") == 0, F.struct("e0", "e1", "e2")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("held", held).where("kind = 1 and held is not null")
+    recent = [F.when(F.col(f"held.{e}.t") >= F.col("timestamp_seconds") - 86_400, F.col(f"held.{e}.text")) for e in ("e2", "e1", "e0")]
+    return rows.select(*R.SESSION, "frame_number", F.concat_ws(",", *recent).alias("banner")).where("banner <> ''")
 
 
 def review_timestamps(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,8 +311,8 @@ from every_event left join (select distinct zone_id, zone_name from edges) using
 select event_id, round_even(a, 3) clip_start, round_even(z, 3) clip_end, greatest(0.0, round_even(t - a, 3)) pre, greatest(0.0, round_even(z - t, 3)) post from b""",
     "evidence_frame_range_join": f"""with {_OCC} select b.camera_id, b.session_id, b.track_id, b.zone_id, b.frame_number event_frame, count(*) n_frames, min(s.frame_number) first_frame, max(s.frame_number) last_frame
 from bar b join spine s on s.camera_id = b.camera_id and s.session_id = b.session_id and s.frame_number * 21600.0 between b.timestamp_seconds - 86400 and b.timestamp_seconds + 86400 group by 1, 2, 3, 4, 5""",
-    "recent_label_banner": f"""with {_STATES}, r as (select a.camera_id, a.session_id, a.frame_number, b.frame_number f, b.track_id, b.zone_id
-  from (select distinct camera_id, session_id, frame_number, timestamp_seconds from bar) a join bar b on a.camera_id = b.camera_id and a.session_id = b.session_id and b.timestamp_seconds between a.timestamp_seconds - 86400 and a.timestamp_seconds
+    "recent_label_banner": f"""with {_OCC}, r as (select a.camera_id, a.session_id, a.frame_number, b.frame_number f, b.track_id, b.zone_id
+  from (select *, frame_number * 21600.0::double timestamp_seconds from spine) a join bar b on a.camera_id = b.camera_id and a.session_id = b.session_id and b.timestamp_seconds between a.timestamp_seconds - 86400 and a.timestamp_seconds
   qualify row_number() over (partition by a.camera_id, a.session_id, a.frame_number order by b.frame_number desc, b.track_id desc, b.zone_id desc) <= 3)
 select camera_id, session_id, frame_number, string_agg(concat(zone_id, ':', track_id), ',' order by f, track_id, zone_id) banner from r group by 1, 2, 3""",
     "review_timestamps": f"""with {_STATES} select distinct camera_id, session_id, unnest([round_even(greatest(0.0, timestamp_seconds / 1000 - 2), 3), round_even(timestamp_seconds / 1000, 3), round_even(timestamp_seconds / 1000 + 0.7, 3)]) review_at from bar""",

@@ -46,14 +46,19 @@ def stream_zone_occupancy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_conflation(spark: SparkSession, folder: str) -> DataFrame:
-    """Latest frame per camera and micro-batch, all frames in one batch; the others are dropped and counted."""
+    """Latest frame per camera and micro-batch; the others are dropped and counted.
+
+    Frames arrive in four lots.  The query stops after each and goes on from its checkpoint with the next, so that a lot is a
+    micro-batch.
+    """
     root = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     events = A.event_frames(spark, folder).select("camera_id", F.col("event_id").alias("sequence"), "frame_number")
-    events.write.parquet(f"{root}/in")
-    source = spark.readStream.schema("camera_id string, sequence long, frame_number long").option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
-    query = source.writeStream.foreachBatch(conflating_writer(f"{root}/out")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("camera_id", "sequence", "received", "dropped")
+    for lot in range(4):
+        events.where(F.col("frame_number") % 4 == lot).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema("camera_id string, sequence long, frame_number long").parquet(f"{root}/in")
+        query = source.writeStream.foreachBatch(conflating_writer(f"{root}/out")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("batch", "camera_id", "sequence", "received", "dropped")
 
 
 def local_track_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +68,7 @@ def local_track_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clip_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    """Not S2, as no table has declared and decoded counts: whether an evidence clip holds the frames that its window and any usual frame rate promise, both ends included."""
+    """Whether an evidence clip holds the frames that its window and any usual frame rate promise, both ends included (S2 proper is ``video_integrity``)."""
     e = table(spark, folder, "evidence_artifacts").where("evidence_id is not null and clip_frame_count is not null and actual_clip_end_seconds is not null and actual_clip_start_seconds is not null")
     span = F.col("actual_clip_end_seconds") - F.col("actual_clip_start_seconds")
     whole = F.exists(F.array(*[F.lit(x) for x in (10.0, 12.5, 15.0, 20.0, 25.0, 30.0)]), lambda fps: F.abs(F.col("clip_frame_count") - span * fps - 1) <= 1)
@@ -71,7 +76,7 @@ def clip_integrity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recorded_flag(spark: SparkSession, folder: str) -> DataFrame:
-    """Not P16, as no table has source_video: sessions, told by the folder, whose evidence has a clip."""
+    """Sessions, told by the folder, whose evidence has a clip (P16 proper is a column of ``evidence_packages``)."""
     e = table(spark, folder, "evidence_artifacts").where("event_dir is not null")
     parts = F.split("event_dir", "/")
     return e.select(F.get(parts, F.lit(1)).alias("camera_id"), F.get(parts, F.lit(2)).alias("session_id"), F.contains("clip_path", F.lit(".mp4")).alias("has_clip")).groupBy("camera_id", "session_id").agg(F.bool_or("has_clip").alias("recorded"))
@@ -93,7 +98,7 @@ from vigil.plans.datasets import _VERDICT  # noqa: E402
 SQL = {
     "stream_rule_events": f"{P._ALL} select camera_id, session_id, module_id, zone_id, track_id, frame_number from every_event",
     "stream_zone_occupancy": f"with {P._OCC} select camera_id, session_id, zone_id, frame_number, occupancy from occ",
-    "stream_conflation": "select concat('cam_', user_id % 5) camera_id, max(event_id) sequence, count(*) received, count(*) - 1 dropped from events group by 1",
+    "stream_conflation": "select cast(epoch_us(ts) // 21600000000 % 4 as int) batch, concat('cam_', user_id % 5) camera_id, max(event_id) sequence, count(*) received, count(*) - 1 dropped from events group by 1, 2",
     "local_track_ids": f"""with {P._OBS}, f as (select camera_id, session_id, track_id, min(frame_number) first_frame from obs group by 1, 2, 3)
 select *, cast(row_number() over (partition by camera_id, session_id order by first_frame, track_id) as int) local_id from f""",
     "clip_integrity": """with e as (select distinct evidence_id, clip_frame_count n, actual_clip_end_seconds - actual_clip_start_seconds s from evidence_artifacts

@@ -119,10 +119,11 @@ class Machine:
         self.anchors = {k: v for k, v in self.anchors.items() if t - v[4] <= self.limits.still_ttl}
 
 
-def rule_stream(frames: DataFrame, zones: dict[str, tuple[Zone, ...]], limits: Thresholds, strict: bool = False, idle_seconds: int = 86_400) -> DataFrame:
+def rule_stream(frames: DataFrame, zones: dict[str, tuple[Zone, ...]], limits: Thresholds, strict: bool = False, idle_seconds: int | None = None) -> DataFrame:
     """Events of a stream of frames in the schema ``FRAME``; late frames come out as rows or, if ``strict``, fail the query.
 
-    The state of a session that got no frame for ``idle_seconds`` of processing time is dropped.
+    With ``idle_seconds`` the state of a session that got no frame for so long, in processing time, is dropped.  That is for streams without
+    end: a query with such a timeout goes on with empty batches, so it never ends by itself.
     """
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -139,7 +140,8 @@ def rule_stream(frames: DataFrame, zones: dict[str, tuple[Zone, ...]], limits: T
                     raise ValueError(f"{camera}/{session}: frame {r.frame_number} is {value} s late")
                 out.append((camera, session, kind, zone, track, r.frame_number, r.timestamp_seconds, value))
         state.update((pickle.dumps(machine),))
-        state.setTimeoutDuration(idle_seconds * 1000)
+        if idle_seconds is not None:
+            state.setTimeoutDuration(idle_seconds * 1000)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"track_id": "Int64"})
 
-    return frames.groupBy("camera_id", "session_id").applyInPandasWithState(advance, EVENTS, "machine binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("camera_id", "session_id").applyInPandasWithState(advance, EVENTS, "machine binary", "append", GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout)
