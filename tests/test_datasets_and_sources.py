@@ -31,7 +31,7 @@ def test_names(spark):
 
 def test_selection(spark):
     rows = spark.createDataFrame([(1, "g_a", 0.9, 1), (2, "g_a", 0.8, 1), (3, "g_b", 0.7, 255)], "id long, g string, conf double, h long")
-    assert sorted(r.id for r in D.diverse(rows, "g", "id", "h", [F.desc("conf")], 3, 3).collect()) == [1, 3]
+    assert sorted(r.id for r in D.diverse(rows, "g", "id", "h", [F.desc("conf")], 3, 3, Scratch(spark)).collect()) == [1, 3]
     assert [r.id for r in D.capped_top(rows, "g", [F.desc("conf")], 1, 5).collect()] == [1, 3]
 
 

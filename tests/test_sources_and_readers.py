@@ -156,7 +156,7 @@ def test_blanks_survive_a_manifest(spark, tmp_path):
 
 def test_group_evidence_needs_a_pair_within_the_threshold(spark):
     """a - b - c is a chain; a and c are the same picture by name but too far apart to tell."""
-    rows = [(1, 0b0, "x"), (2, 0b111, "y"), (3, 0b111111, "x"), (4, 1 << 40, "q"), (5, 1 << 40, "q"), (6, 1 << 50, "z")]
+    rows = [(1, 0b0, "x"), (2, 0b111, "y"), (3, 0b111111, "x"), (4, 255 << 40, "q"), (5, 255 << 40, "q"), (6, 255 << 50, "z")]
     images = spark.createDataFrame(rows, "image_id long, h long, stem string")
     members, _, near = D.near_duplicates(images, "image_id", "h", 3, Scratch(spark))
     assert {(r.image_id, r.group_id) for r in members.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}

@@ -54,13 +54,13 @@ def runs(df: DataFrame, keys: list[str], order: str, flag: Column, scratch: Scra
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.where(F.col(order).isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], F.col(order).cast("long").alias("o"), F.coalesce(flag, F.lit(False)).alias("f"))
-    schema = ", ".join(f"{k} string" for k in keys) + ", first long, last long, n long, marks array<long>, part int, begins boolean, ends boolean, whole boolean"
+    schema = ", ".join(f"{k} string" for k in keys) + ", first long, last long, n long, marks array<long>, part int, begins boolean, ends boolean"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, held, at_start, seen = TaskContext.get().partitionId(), None, True, False
-        names = [*keys, "first", "last", "n", "marks", "part", "begins", "ends", "whole"]
+        names = [*keys, "first", "last", "n", "marks", "part", "begins", "ends"]
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -73,7 +73,7 @@ def runs(df: DataFrame, keys: list[str], order: str, flag: Column, scratch: Scra
             for _, g in pdf.groupby(cut.cumsum(), sort=False):
                 if not g.f.iloc[0]:
                     if held is not None:
-                        out.append((*held[0], *held[1:], False, False))
+                        out.append((*held[0], *held[1:], False))
                     held, at_start = None, False
                     continue
                 o = g.o.tolist()
@@ -81,22 +81,25 @@ def runs(df: DataFrame, keys: list[str], order: str, flag: Column, scratch: Scra
                     held = (held[0], held[1], o[-1], held[3] + len(o), (held[4] + o[:marks])[:marks], part, held[6])
                     continue
                 if held is not None:
-                    out.append((*held[0], *held[1:], False, False))
+                    out.append((*held[0], *held[1:], False))
                 held = (tuple(g[keys].iloc[0]), o[0], o[-1], len(o), o[:marks], part, at_start)
                 at_start = False
             yield pd.DataFrame(out, columns=names)
         if held is not None:
-            yield pd.DataFrame([(*held[0], *held[1:], True, bool(held[6]))], columns=names)
-        elif seen:
-            yield pd.DataFrame([], columns=names)
+            yield pd.DataFrame([(*held[0], *held[1:], True)], columns=names)
+        elif seen:  # tells that the task had rows
+            yield pd.DataFrame([(*[""] * len(keys), 0, 0, 0, [], part, True, False)], columns=names)
 
     made = scratch.save(rows.repartitionByRange(parts, *keys, "o").sortWithinPartitions(*keys, "o").mapInPandas(fold, schema))
-    edge = made.where("begins or ends").orderBy("part", "first").collect()  # at most two a task
+    edge = made.where("begins or ends").orderBy("part", F.desc("begins"), F.desc("n")).collect()  # at most three a task
+    parts_seen = {p: i for i, p in enumerate(sorted({r.part for r in edge}))}
     joined: list[list] = []
     for r in edge:
+        if not r.n:
+            continue
         key = [r[k] for k in keys]
         last = joined[-1] if joined else None
-        if last and r.begins and last[-2] and last[: len(keys)] == key and r.part == last[-1] + 1:
+        if last and r.begins and last[-2] and last[: len(keys)] == key and parts_seen[r.part] == parts_seen[last[-1]] + 1:
             last[len(keys) + 1], last[len(keys) + 2] = r.last, last[len(keys) + 2] + r.n
             last[len(keys) + 3] = (last[len(keys) + 3] + list(r.marks))[:marks]
             last[-2], last[-1] = r.ends, r.part
