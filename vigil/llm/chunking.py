@@ -10,7 +10,7 @@ Cuts lie between words of the tokenizer, never inside a sign made of several cod
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -92,31 +92,33 @@ class _Text:
     """A text as units between which it may be cut: where they begin, the tokens up to them, and strengths."""
 
     def __init__(self, at: np.ndarray, counts: np.ndarray, strength: np.ndarray, soft: np.ndarray, tail: np.ndarray, length: int):
-        self.at = np.append(at, length)
-        self.soft = np.append(soft, False)  # inside a long word, where sums of tokens are only estimates
-        self.upto = np.concatenate([[0], np.cumsum(counts)])
-        self.tail = tail  # tokens more or less if the text ended there
+        # looked up one by one, which is faster in lists than in arrays
+        self.at = [*at.tolist(), length]
+        self.soft = [*soft.tolist(), False]  # inside a long word, where sums of tokens are only estimates
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        self.upto = upto.tolist()
+        self.tail = tail.tolist()  # tokens more or less if the text ended there
         order = strength[1:]
         self.ranked = []
         for s in (PARAGRAPH, LINE, SENTENCE, BLANK):
             units = np.flatnonzero(order == s) + 1
             if len(units):
-                self.ranked.append((units.tolist(), self.upto[units].tolist()))
+                self.ranked.append((units.tolist(), upto[units].tolist()))
 
     def cut(self, i: int, j: int) -> int:
         """The unit before which the stretch i..j is best cut: the strongest boundary in its middle half."""
-        low, high = int(self.upto[i]), int(self.upto[j])
+        low, high = self.upto[i], self.upto[j]
         middle, quarter = (low + high) / 2, (high - low) / 4
         for units, sums in self.ranked:
             k = bisect_left(sums, middle)
             near = [x for x in (k - 1, k) if 0 <= x < len(sums) and abs(sums[x] - middle) <= quarter and i < units[x] < j]
             if near:
                 return units[min(near, key=lambda x: abs(sums[x] - middle))]
-        k = int(np.searchsorted(self.upto[i : j + 1], middle)) + i
+        k = bisect_left(self.upto, middle, i, j + 1)
         return min((x for x in (k - 1, k) if i < x < j), key=lambda x: abs(self.upto[x] - middle), default=min(max(k, i + 1), j - 1))
 
     def size(self, i: int, j: int) -> int:
-        return int(self.upto[j] - self.upto[i] + self.tail[j])
+        return self.upto[j] - self.upto[i] + self.tail[j]
 
     def cores(self, room: int) -> list[tuple[int, int]]:
         done, todo = [], [(0, len(self.at) - 1)]
@@ -133,7 +135,7 @@ class _Text:
         """Where a piece begins whose core begins at ``i``: at the last unit from which at least ``overlap`` tokens lead there."""
         if not i or not overlap:
             return i
-        u = max(int(np.searchsorted(self.upto[: i + 1], self.upto[i] - overlap, side="right")) - 1, 0)
+        u = max(bisect_right(self.upto, self.upto[i] - overlap, 0, i + 1) - 1, 0)
         while u and self.size(u, i) < overlap:
             u -= 1
         return u
@@ -236,8 +238,8 @@ class Cutter:
         while todo:
             i, j = todo.pop()
             u = units.lead(i, overlap)
-            c, e = int(units.at[i]), int(units.at[j])
-            exact = lambda: len(self.counter.encode(text[int(units.at[u]) : e])) if units.soft[u] or units.soft[j] else units.size(u, j)  # noqa: E731, B023
+            c, e = units.at[i], units.at[j]
+            exact = lambda: len(self.counter.encode(text[units.at[u] : e])) if units.soft[u] or units.soft[j] else units.size(u, j)  # noqa: E731, B023
             size = exact()
             if size > limit and j - i > 1:
                 k = units.cut(i, j)
@@ -246,7 +248,7 @@ class Cutter:
             while size > limit and u < i:
                 u += 1
                 size = exact()
-            out.append((int(units.at[u]), c, e, size, units.size(u, i) if u < i else 0))
+            out.append((units.at[u], c, e, size, units.size(u, i) if u < i else 0))
         return out
 
 
