@@ -119,7 +119,7 @@ def test_total_is_the_largest_within_the_tolerance(spark):
     for tolerance in (0.005, 0.02):
         report = {r.source: r for r in mixing.mix(docs, wanted, Scratch(spark), tolerance=tolerance).report.collect()}
         over = [report[s].share - report[s].target_share for s in ("big", "mid")]
-        assert max(over) < tolerance + 0.001 and min(over) > tolerance - 0.001 and report["other"].n_tokens == report["other"].available_tokens
+        assert max(over) < tolerance + 0.002 and min(over) > tolerance - 0.002 and report["other"].n_tokens == report["other"].available_tokens
 
 
 def test_no_slot_is_lost(spark):
