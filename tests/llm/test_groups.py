@@ -1,6 +1,7 @@
 """History check, splits, overlaps and consolidation against brute force, with nulls, ties, repeats and empty tables."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -255,6 +256,44 @@ def test_crowded_cells_and_hot_keys(spark, monkeypatch):
     assert {i for i in range(60, 120) if i % 3 == 0} <= {r.record_id for r in h.check(frame(range(60, 120))).collect()}
 
 
+def test_rounds_start_few_jobs_and_broadcasts(spark):
+    """Stages and broadcasts take the driver's memory whatever the size of the tables; p1_found went over its limit by them."""
+    rng = random.Random(9)
+    hs = _hashes(rng, 200)
+    frame = lambda ids: spark.createDataFrame([(i, f"{i % 90:064x}", f"n{i % 70}", hs[i]) for i in ids], "record_id long, digest string, name string, h long")
+    h = history.PivotHistory(spark)
+    h.append(frame(range(200)))
+    found = h.check(frame(range(200, 400)))
+    assert len(found.collect()) == 200
+    plan = found._jdf.queryExecution().executedPlan().executedPlan().toString()
+    nodes = Counter(re.findall(r"(?m)^[\s:+\-*()\d]*(BroadcastExchange|Exchange)\b", plan))
+    assert nodes["BroadcastExchange"] == 1 and nodes["Exchange"] <= 7
+
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    df = spark.createDataFrame([(i, 1 + i % 5, None, f"c_{i % 89}.jpg", hs[i], 1, "x", "y") for i in range(400)], RECORDS)
+    before = jobs()
+    assert history.held_before(df, "record_id", "selection_round", "sha256", "crop_filename", "perceptual_hash").count()
+    assert jobs() - before <= 15 * 5
+
+
+def test_parts_have_their_own_counts(spark):
+    scratch = Scratch(spark)
+    saved = scratch.save(spark.range(10).selectExpr("id", "cast(id % 3 as int) part"), by=("part",))
+    parts = scratch.parts(saved, "part", most=F.max("id"))
+    assert {k: (scratch.count(p), scratch.watched(p, "most"), sorted(r.id for r in p.collect())) for k, p in parts.items()} == {0: (4, 9, [0, 3, 6, 9]), 1: (3, 7, [1, 4, 7]), 2: (3, 8, [2, 5, 8])}
+
+
+def test_large_batches_are_written_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(history, "ONE_TASK", 10)
+    rng = random.Random(10)
+    hs = _hashes(rng, 100)
+    frame = lambda ids: spark.createDataFrame([(i, None, None, hs[i]) for i in ids], "record_id long, digest string, name string, h long")
+    h = history.PivotHistory(spark)
+    h.append(frame(range(100)))
+    assert sorted(r.hr for r in spark.read.parquet(f"{h.root}/pivots").collect()) == sorted(hs[:100])
+    assert sorted(r.record_id for r in h.check(frame(range(100, 200))).collect()) == [i for i in range(100, 200) if any(_near(hs[i], x) for x in hs[:100])]
+
+
 def test_more_rows_than_sums_of_hashes_could_hold(spark):
     """Changed rows are counted, so no number of rows overflows: 18 million rows of which one differs."""
     from vigil.llm.components import NEW, OLD

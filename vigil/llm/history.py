@@ -33,6 +33,7 @@ from vigil.session import Scratch
 RADIUS = 3
 RANGE = 4  # width of a range of distances to the first pivot
 SLICE = 4096  # fingerprints of one side of a cell that are compared in one piece, about
+ONE_TASK = 1_000_000  # keys of a batch up to which one task writes its fingerprints, so that none has to be sampled
 HALFWORDS, BYTES = 4, 4
 # fixed pivots: no bits, the four halfwords, and the lower byte of each halfword
 PIVOTS = (0x0, 0xFFFF, 0xFFFF0000, 0xFFFF00000000, 0xFFFF000000000000, 0xFF, 0xFF0000, 0xFF00000000, 0xFF000000000000)
@@ -84,19 +85,36 @@ def _packed() -> str:
 
 
 def _prune(a: str, b: str) -> Column:
-    """The triangle inequality for all unions of the pivots' blocks: half of what is summed up are the differences of set bits."""
+    """The triangle inequality for all unions of the pivots' blocks: half of what is summed up are the differences of set bits.
+
+    With the differences e of distances, the bits set in the lower byte of a halfword differ by (e0 - e of the byte) / 2, those
+    in the upper one by (e of the byte - e of the halfword) / 2.
+    """
     e = [f"(shiftright({a}, {7 * i}) & 127) - (shiftright({b}, {7 * i}) & 127)" for i in range(len(PIVOTS))]
     parts = []
     for g in range(BYTES):
-        half, low = f"(({e[0]}) - ({e[1 + g]}))", f"(({e[0]}) - ({e[1 + HALFWORDS + g]}))"
-        parts.append(f"abs({low}) + abs({half} - {low})")
+        half, low = e[1 + g], e[1 + HALFWORDS + g]
+        parts.append(f"abs(({e[0]}) - ({low})) + abs(({low}) - ({half}))")
     return F.expr(f"{' + '.join(parts)} <= {2 * RADIUS}")
 
 
-def with_keys(batch: DataFrame) -> DataFrame:
-    """(record_id, kind, key): digest, name and fingerprint of each record, without nulls."""
+def with_keys(batch: DataFrame, *also: str) -> DataFrame:
+    """(record_id, also, kind, key): digest, name and fingerprint of each record, without nulls."""
     values = [F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("key")) for k, c in (("d", "digest"), ("n", "name"), ("h", "h"))]
-    return batch.select("record_id", F.explode(F.array(*values)).alias("k")).select("record_id", "k.kind", "k.key").where("key is not null")
+    return batch.select("record_id", *also, F.explode(F.array(*values)).alias("k")).select("record_id", *also, "k.kind", "k.key").where("key is not null")
+
+
+def counted_keys(batch: DataFrame, *by: str) -> DataFrame:
+    """(by, kind, key, n, h, distances of fingerprints) of the different keys."""
+    counted = with_keys(batch, *by).groupBy(*by, "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("h", F.when(F.col("kind") == "h", F.col("key").cast("long"))).selectExpr(*by, "kind", "key", "n", "h", *pivot_distances("h"))
+
+
+def key_facts() -> dict[str, Column]:
+    """Of a batch's keys: the most records of one, and the ranges of the distance to the first pivot that are touched, as bits."""
+    around = [F.expr(f"shiftleft(1L, cast(floor((d0 + {x}) / {RANGE}) as int))") for x in (-RADIUS, 0, RADIUS)]
+    touched = F.bit_or(around[1].bitwiseOR(F.when(F.col("d0") >= RADIUS, around[0]).otherwise(F.lit(0))).bitwiseOR(around[2]))
+    return {"most": F.max("n"), "touched": touched}
 
 
 class PivotHistory:
@@ -114,30 +132,27 @@ class PivotHistory:
     def _keys(self, batch: DataFrame) -> DataFrame:
         """(kind, key, n, distances of fingerprints) of the batch's different keys, written once for check and append."""
         if self.keyed is None or self.keyed[0] is not batch:
-            counted = with_keys(batch).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
-            counted = counted.withColumn("h", F.when(F.col("kind") == "h", F.col("key").cast("long"))).selectExpr("kind", "key", "n", "h", *pivot_distances("h"))
-            around = [F.expr(f"shiftleft(1L, cast(floor((d0 + {x}) / {RANGE}) as int))") for x in (-RADIUS, 0, RADIUS)]
-            touched = F.bit_or(around[1].bitwiseOR(F.when(F.col("d0") >= RADIUS, around[0]).otherwise(F.lit(0))).bitwiseOR(around[2]))
-            self.keyed = batch, self.scratch.save(counted, most=F.max("n"), touched=touched)
+            self.keyed = batch, self.scratch.save(counted_keys(batch), **key_facts())
         return self.keyed[1]
 
     def near(self, fingerprints: DataFrame, ranges: list[int]) -> DataFrame:
-        """(hl) of different fingerprints (hl, distances) that have a stored one within the radius.
+        """(hl) of different fingerprints (hl, distances) that have a stored one within the radius, once for each such pair.
 
         ``ranges`` are the ranges of the distance to the first pivot that the fingerprints touch; no other folder is read.
         """
         own = fingerprints.selectExpr("hl", _cell(), f"{_packed()} ql")
-        around = lambda df: df.select("*", F.expr(f"explode(array({','.join(map(str, AROUND))})) _step")).withColumn("cell", F.col("cell") + F.col("_step")).drop("_step")
+        # one text instead of many literals keeps the plan small
+        around = lambda df: df.select("*", F.expr(f"explode(cast(split('{','.join(map(str, AROUND))}', ',') as array<int>))").alias("_step")).withColumn("cell", F.col("cell") + F.col("_step")).drop("_step")
         # cells are at most CELL ** HALFWORDS by construction, so their counts may be broadcast
-        stored = self._table("cells", "cell int, n long").groupBy("cell").agg(F.sum("n").alias("nr"))
-        looked = around(own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))).groupBy("cell").agg(F.sum("n").alias("nl"))
-        few = F.broadcast(stored.join(looked, "cell").selectExpr("cell", f"cast(ceil(nr / {SLICE}) as int) sr", f"cast(ceil(nl / {SLICE}) as int) sl"))
+        looked = around(own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))).selectExpr("cell", "0L nr", "n nl")
+        counts = self._table("cells", "cell int, n long").selectExpr("cell", "n nr", "0L nl").unionByName(looked).groupBy("cell").agg(F.sum("nr").alias("nr"), F.sum("nl").alias("nl"))
+        few = F.broadcast(counts.where("nr > 0 and nl > 0").selectExpr("cell", f"cast(ceil(nr / {SLICE}) as int) sr", f"cast(ceil(nl / {SLICE}) as int) sl"))
         left = around(own).join(few, "cell").selectExpr("hl", "ql", "cell", "cast(pmod(xxhash64(hl), sl) as int) l", "explode(sequence(0, sr - 1)) r")
         table = self._table("pivots", "hr long, " + ", ".join(f"{c} tinyint" for c in DISTANCES) + ", range int").where(F.col("range").isin(ranges))
         right = table.selectExpr("hr", f"{_packed()} qr", _cell()).join(few, "cell").selectExpr("hr", "qr", "cell", "explode(sequence(0, sl - 1)) l", "cast(pmod(xxhash64(hr), sr) as int) r")
         # the planner can't see how many cells a row looks into, so it must not broadcast
         met = left.join(right.hint("merge"), ["cell", "l", "r"]).where(_prune("ql", "qr") & (bit_distance(F.col("hl"), F.col("hr")) <= RADIUS))
-        return met.select("hl").distinct()
+        return met.select("hl")
 
     def check(self, batch: DataFrame) -> DataFrame:
         """(record_id) of the batch's records (record_id, digest, name, h) that history already holds.
@@ -148,14 +163,16 @@ class PivotHistory:
             return batch.select("record_id").limit(0)
         keys = self._keys(batch)
         touched = self.scratch.watched(keys, "touched") or 0
-        held = keys.select("kind", "key").join(self._table("keys", "kind string, key string"), ["kind", "key"], "left_semi")
+        held = self._table("keys", "kind string, key string")
         if touched:
             near = self.near(keys.where("kind = 'h'").withColumnRenamed("h", "hl"), [k for k in range(64 // RANGE + 1) if touched >> k & 1])
             held = held.unionByName(near.select(F.lit("h").alias("kind"), F.col("hl").cast("string").alias("key")))
         rows = with_keys(batch)
         if (self.scratch.watched(keys, "most") or 0) < HOT_ROWS:
-            return rows.join(held, ["kind", "key"], "left_semi").select("record_id").distinct()
+            # different keys lie as the join needs them; a broadcast of what was shuffled already would only cost the driver memory
+            return rows.join(held.distinct().hint("merge"), ["kind", "key"], "left_semi").select("record_id").distinct()
         # one copied crop may be a third of a batch: its keys, of which there are at most MOST_HOT, are looked up by broadcast
+        held = keys.select("kind", "key").join(held.distinct(), ["kind", "key"], "left_semi")
         held = self.scratch.save(held.select(F.struct("kind", "key").alias("k")))
         hot = F.broadcast(hot_list(keys.select(F.struct("kind", "key").alias("k"), "n"), "k", "n"))
         rows = rows.select("record_id", F.struct("kind", "key").alias("k"))
@@ -166,7 +183,8 @@ class PivotHistory:
         """Add the batch's different digests, names and fingerprints, the latter with their pivot distances."""
         keys = self._keys(batch)
         fresh = keys.where("kind = 'h'").withColumnRenamed("h", "hr").select("hr", *DISTANCES)
-        ranged = fresh.withColumn("range", F.floor(F.col("d0") / RANGE).cast("int")).repartitionByRange("range", *DISTANCES[1:3])
+        ranged = fresh.withColumn("range", F.floor(F.col("d0") / RANGE).cast("int"))
+        ranged = ranged.coalesce(1) if self.scratch.count(keys) <= ONE_TASK else ranged.repartitionByRange("range", *DISTANCES[1:3])
         jobs = (
             lambda: keys.where("kind <> 'h'").select("kind", "key").write.mode("append").parquet(f"{self.root}/keys"),
             lambda: ranged.write.mode("append").partitionBy("range").parquet(f"{self.root}/pivots"),
@@ -190,16 +208,19 @@ def held_before(records: DataFrame, row_id: str, round_: str, sha: str, name: st
         F.col(row_id).alias("record_id"),
         F.struct(F.col(round_).alias("round"), digest(F.col(sha)).alias("digest"), crop_name(F.col(name)).alias("name"), F.col(fingerprint).cast("long").alias("h")).alias("r"),
     )
-    rows = scratch.save(rows.groupBy("record_id").agg(F.min("r").alias("r")).select("record_id", "r.*"))
+    # in folders by round a batch reads its own rows, and no round's number gets into generated code, which so serves all rounds
+    rows = scratch.save(rows.groupBy("record_id").agg(F.min("r").alias("r")).select("record_id", "r.*"), by=("round",))
+    # the keys of all rounds are counted in one job; a round without any holds nothing and is held by nothing
+    keys = scratch.parts(scratch.save(counted_keys(rows, "round"), by=("round",)), "round", **key_facts())
     history, found = PivotHistory(spark, scratch), []
     with ThreadPoolExecutor(1) as pool:
-        for r in sorted(x["round"] for x in rows.select("round").distinct().collect()):
+        for r in sorted(keys):
             batch = rows.where(F.col("round") == r)
+            history.keyed = batch, keys[r]
             # the check has listed the files it reads, so what it finds can be written while the batch is appended
-            held = history.check(batch).withColumn("round", F.lit(r))
-            writing = pool.submit(scratch.save, held)
+            writing = pool.submit(scratch.save, history.check(batch))
             history.append(batch)
-            found.append(writing.result())
+            found.append(writing.result().withColumn("round", F.lit(r)))
     out = spark.createDataFrame([], f"record_id {rows.schema['record_id'].dataType.simpleString()}, round int")
     for part in found:
         out = out.unionByName(part)
