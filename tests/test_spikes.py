@@ -1,5 +1,6 @@
 """Spikes: each kind of case and of decoy, and verdicts that don't depend on where chunks are cut."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -165,3 +166,31 @@ def test_repeated_and_null_rows(spark):
     df = spark.createDataFrame(rows, "metric_id long, camera_id string, session_id string, at timestamp, v double, row_id string")
     got = S.readings(df, "t", "v", "metric_id", F.col("at")).collect()
     assert sorted((r.row_id, r.camera_id, r.value) for r in got) == [(1, "c", 5.0), (3, "", 7.0)]
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_little_is_shuffled_and_kept(spark):
+    from pyspark.sql import functions as F
+
+    from vigil.session import Scratch
+
+    n = 60_000
+    at = F.timestamp_micros(F.lit(1_609_459_200_000_000) + (F.col("id") / 50).cast("long") * 5_000_000 + (F.rand(1) * 1e6).cast("long"))
+    status = spark.range(n, numPartitions=4).select(
+        ((F.col("id") * 7919) % n).alias("status_id"), F.concat(F.lit("press_cam_"), F.col("id") % 10).alias("camera_id"), F.format_string("ses%09d", F.col("id") % 50).alias("session_id"),
+        F.lit("running").alias("state"), at.alias("received_at"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("updated_at_utc"),
+        F.round(F.randn(2) * 0.3 + 10, 3).alias("processing_fps"), (F.col("id") / 50).cast("long").alias("frames_dropped"), (F.col("id") / 25).cast("long").alias("frames_received"),
+    )
+    metrics = spark.createDataFrame([], "metric_id long, camera_id string, session_id string, snapshot_at timestamp, reported_source_fps double")
+    scratch, before = Scratch(spark), _shuffled(spark)
+    S.flagged(S.camera_readings(status, metrics), S.LIMITS, scratch)
+    kept = sum(os.path.getsize(os.path.join(d, f)) for p in scratch.paths.values() for d, _, names in os.walk(p.removeprefix("file:")) for f in names)
+    assert (_shuffled(spark) - before + kept) / (2 * n) < 75

@@ -64,17 +64,17 @@ class Scratch:
         self.kept: list[DataFrame] = []  # so that no id is used twice
         self.made = 0
 
-    def save(self, df: DataFrame, only: Column | None = None, drop: tuple[str, ...] = (), by: tuple[str, ...] = (), **watch: Column) -> DataFrame:
+    def save(self, df: DataFrame, only: Column | None = None, drop: tuple[str, ...] = (), by: tuple[str, ...] = (), options: dict[str, str] | None = None, **watch: Column) -> DataFrame:
         """Write ``df`` and read it back.  ``count`` and ``watched`` then tell its number of rows and the aggregates
         ``watch`` without another job.  With ``only`` the aggregates see all rows, but just those that meet it are written and
-        counted, without the columns ``drop``.  They lie in folders by the columns ``by``."""
+        counted, without the columns ``drop``.  They lie in folders by the columns ``by``; ``options`` are the writer's."""
         path = f"{self.root}/{self.made}"
         self.made += 1
         seen = Observation()
         counted = F.count(F.lit(1)) if only is None else F.count_if(only)
         out = df.observe(seen, counted.alias("rows"), *[c.alias(k) for k, c in watch.items()])
         out = (out if only is None else out.where(only)).drop(*drop)
-        out.write.partitionBy(*by).parquet(path)
+        out.write.options(**(options or {})).partitionBy(*by).parquet(path)
         back = self.spark.read.schema(out.schema).parquet(path)
         self.seen[id(back)] = seen.get
         self.paths[id(back)] = path
